@@ -4,17 +4,18 @@ Texts are sets of word shingles (64-bit hashes; a false match has a chance of so
 pair).  Equal sets are one class from the start, so copies cost nothing further.  Classes
 get ``BANDS * WIDTH`` MinHash values; those that agree in a band meet in a bucket.
 
-Candidates: buckets with the same members count once.  In a bucket of up to ``SMALL``
-classes all pairs are candidates.  In a larger one hubs are compared with all members, those
-first that meet the most classes or have the most links, and in each round twice as many,
-until all pairs of members that aren't yet connected have been compared; a group of copies
-is settled after a round or two without its pairs ever being listed.
+Candidates: buckets with the same members count once.  In each bucket a hub is compared with
+the other members: first the class that meets most others, then the one with most links, then
+one of the component with the fewest members there.  A bucket whose other members are by then
+in one component is settled, so a group of copies never has its pairs listed.  The members of
+what is left are compared in blocks of ``BLOCK``, signatures against signatures, and only
+pairs that stay likely leave the block.
 
 Verification: signatures are compared ``BATCH`` values at a time, and a pair is dropped as
 soon as the posterior chance that its similarity reaches the threshold falls below ``MISS``.
-Survivors are verified on full sets: each class's likeliest partner first, then what still
-crosses components.  A link at the threshold itself is missed with a chance of about 1e-5 in
-the banding (48 bands of 7) and ``MISS`` a batch in the pruning, others less.
+Survivors are verified on full sets: each class's likeliest partner first, twice, then what
+still crosses components.  A link at the threshold itself is missed with a chance of about
+1e-5 in the banding (48 bands of 7) and ``MISS`` a batch in the pruning, others less.
 
 Components grow by least labels and pointer jumping, as tables; nothing is collected.
 
@@ -39,8 +40,8 @@ from cairnspark.llm.shared import small_batches, written
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, WIDTH = 48, 7
-BATCH, MISS = 48, 1e-6
-SMALL = 16
+BATCH, MISS = 48, 1e-5
+BLOCK = 512
 REMEMBERED = 300_000
 
 _U = np.uint64
@@ -174,6 +175,7 @@ class Finder:
         # a class is named by its least row
         self.classes = written(full.groupBy("d1", "d2").agg(F.min("row").alias("node"), F.min("doc_id").alias("first")), "classes")
         self.own = written(full.join(self.classes.select("node"), F.col("row") == F.col("node"), "left_semi").select(F.col("row").alias("node"), "n_shingles", "bands", "sig"), "signatures")
+        self.sets: DataFrame | None = None
         self.links: DataFrame | None = None
         self.labels: DataFrame | None = None
 
@@ -186,72 +188,105 @@ class Finder:
         kept = sums.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
         return written(rows.join(written(kept, "kept"), "bucket"), "buckets")
 
-    def _all_pairs(self, rows: DataFrame) -> DataFrame:
-        """Of buckets of ``SMALL`` rows at most, so at most ``SMALL / 2`` pairs a row."""
-        left, right = rows.select("bucket", F.col("node").alias("a")), rows.select("bucket", F.col("node").alias("b"))
-        return left.join(right, "bucket").filter("a < b").select("a", "b")
-
     def _hub_pairs(self, rows: DataFrame, hubs: DataFrame) -> DataFrame:
-        pairs = rows.select("bucket", "node").join(hubs.select("bucket", F.col("node").alias("hub")), "bucket").filter("node <> hub")
-        return pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+        pairs = rows.select("bucket", "node").join(hubs, "bucket").filter("node <> hub")
+        return pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
     def run(self) -> None:
         rows = self.buckets()
-        small, large = rows.filter(F.col("n") <= SMALL), rows.filter(F.col("n") > SMALL)
-        meets = large.groupBy("node").agg(F.sum("n").alias("met"))
-        large = written(large.select("bucket", "node").join(meets, "node"), "large")
-        pairs, number = self._all_pairs(small), 1
-        while True:
-            by = Window.partitionBy("bucket")
-            hubs = None
-            if large.limit(1).count():
-                ranked = large.withColumn("r", F.row_number().over(by.orderBy(F.col("met").desc(), F.xxhash64("node")))).filter(F.col("r") <= number).drop("r")
-                hubs = ranked
-                if "few" in large.columns:  # and as many from the components that have the fewest members there
-                    rare = large.withColumn("r", F.row_number().over(by.orderBy("few", F.xxhash64("node")))).filter(F.col("r") <= number).drop("r")
-                    hubs = ranked.unionByName(rare).distinct()
-                hubs = written(hubs.select("bucket", "node"), "hubs")
-                more = self._hub_pairs(large, hubs)
-                pairs = more if pairs is None else pairs.unionByName(more)
-            self._verify(pairs.distinct())
-            if hubs is None:
-                return
-            # what is left: pairs of members that were no hubs and are in different components
-            rest = large.select("bucket", "node").join(hubs, ["bucket", "node"], "left_anti")
-            rest = written(_labelled(rest, self.labels, "node", "label"), "rest")
-            parts = rest.groupBy("bucket", "label").agg(F.count("*").alias("few"))
-            open_ = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("few").alias("n")).filter("parts > 1").drop("parts")
-            rest = rest.join(parts, ["bucket", "label"]).join(open_, "bucket")
-            linked = self._degrees()
-            rest = written(rest.join(linked, "node", "left").select("bucket", "node", "few", "n", F.coalesce("met", F.lit(0)).alias("met")), "rest")
-            pairs = self._all_pairs(rest.filter(F.col("n") <= SMALL))
-            large = rest.filter(F.col("n") > SMALL).drop("n")
-            number *= 2
-            if not rest.limit(1).count():
+        self._take_sets(rows.select("node").distinct())
+        meets = rows.groupBy("node").agg(F.sum("n").alias("met"))
+        rows = rows.select("bucket", "node").join(meets, "node")
+        for turn in ("met", "met", "few"):
+            first = F.col("met") if turn == "met" else -F.col("few")
+            hubs = written(rows.groupBy("bucket").agg(F.max_by("node", F.struct(first, F.xxhash64("node"))).alias("hub")), "hubs")
+            self._verify(self._likely(self._hub_pairs(rows, hubs)))
+            rows = self._left(rows, hubs)
+            if not rows.limit(1).count():
                 return
-
-    def _degrees(self) -> DataFrame:
+        self._verify(self._blocks(rows))
+
+    def _left(self, rows: DataFrame, hubs: DataFrame) -> DataFrame:
+        """Members that were no hubs, of buckets in which they are of several components."""
+        rest = rows.select("bucket", "node").join(hubs, "bucket").filter("node <> hub").drop("hub")
+        rest = written(_labelled(rest, self.labels, "node", "label"), "left")
+        open_ = rest.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).filter("low < high")
+        rest = written(rest.join(open_.select("bucket", "n"), "bucket"), "open")
+        few = rest.groupBy("bucket", "label").agg(F.count("*").alias("few"))
         if self.links is None:
-            return self.own.limit(0).select("node", F.lit(0).cast("long").alias("met"))
-        ends = self.links.select(F.explode(F.array("a", "b")).alias("node"))
-        return ends.groupBy("node").agg(F.count("*").alias("met"))
+            degrees = self.own.limit(0).select("node", F.lit(0).cast("long").alias("met"))
+        else:
+            degrees = self.links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("met"))
+        rest = rest.join(few, ["bucket", "label"]).join(degrees, "node", "left")
+        return written(rest.select("bucket", "node", "label", "n", "few", F.coalesce("met", F.lit(0)).alias("met")), "open")
+
+    def _blocks(self, rows: DataFrame) -> DataFrame:
+        """a, b, matches: likely pairs across components, from comparing a bucket's members block by block."""
+        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+        at = F.pmod(F.xxhash64("node", F.lit(3)), blocks).cast("int")
+        dealt = rows.select("bucket", "node", "label", at.alias("at"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+        dealt = dealt.select("bucket", F.least("at", "other").alias("low"), F.greatest("at", "other").alias("high"), "at", "node", "label")
+        dealt = dealt.join(self.own.select("node", "sig"), "node").repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "at")
+        least = least_matches(self.threshold, self.miss)
+
+        def compared(rows: list[tuple]) -> list[tuple[int, int, int]]:
+            node, label = (np.array([r[k] for r in rows]) for k in (4, 5))
+            sig = np.frombuffer(b"".join(r[6] for r in rows), np.uint8).reshape(len(rows), -1)
+            low = sum(r[3] == rows[0][1] for r in rows)
+            if rows[0][1] == rows[0][2]:
+                x = y = np.arange(len(rows))
+            else:
+                x, y = np.arange(low), np.arange(low, len(rows))
+            # the first batch of all, a strip of rows at a time; later ones of what is still likely
+            found = []
+            for i in range(0, len(x), 64):
+                part = x[i : i + 64]
+                m = (sig[part, None, :BATCH] == sig[None, y, :BATCH]).sum(axis=2, dtype=np.int64)
+                p, q = np.nonzero((m >= least[0]) & (label[part][:, None] != label[y][None, :]) & (node[part][:, None] < node[y][None, :] if x is y else True))
+                p, q, m = part[p], y[q], m[p, q]
+                for k, need in enumerate(least[1:], 1):
+                    cut = slice(k * BATCH, (k + 1) * BATCH)
+                    m = m + (sig[p, cut] == sig[q, cut]).sum(axis=1)
+                    p, q, m = p[m >= need], q[m >= need], m[m >= need]
+                found += zip(np.minimum(node[p], node[q]).tolist(), np.maximum(node[p], node[q]).tolist(), m.tolist(), strict=True)
+            return found
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[tuple] = []
+
+            def out(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+                if rows and (found := compared(rows)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b", "matches"])
+
+            for batch in batches:
+                for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if held and held[0][:3] != row[:3]:
+                        yield from out(held)
+                        held = []
+                    held.append(row)
+            yield from out(held)
+
+        return dealt.select("bucket", "low", "high", "at", "node", "label", "sig").mapInArrow(run, "a long, b long, matches long").distinct()
 
     # ---- verification ----
 
-    def _verify(self, pairs: DataFrame) -> None:
-        pairs = _labelled(_labelled(pairs, self.labels, "a", "la"), self.labels, "b", "lb").filter("la <> lb").select("a", "b") if self.labels is not None else pairs
-        likely = written(self._likely(pairs), "likely")
-        ends = likely.select(F.col("a").alias("node"), F.col("b").alias("other"), "matches").unionByName(likely.select(F.col("b").alias("node"), F.col("a").alias("other"), "matches"))
-        best = ends.groupBy("node").agg(F.max(F.struct("matches", F.col("other").alias("other"))).alias("x")).select(F.least("node", "x.other").alias("a"), F.greatest("node", "x.other").alias("b")).distinct()
-        best = written(best, "best")
-        self._add(self._exact(best))
+    def _crossing(self, pairs: DataFrame) -> DataFrame:
         if self.labels is None:
-            rest = likely.join(best, ["a", "b"], "left_anti")
-        else:
-            rest = _labelled(_labelled(likely, self.labels, "a", "la"), self.labels, "b", "lb").filter("la <> lb").join(best, ["a", "b"], "left_anti")
-        rest = written(rest.select("a", "b"), "rest")
-        if rest.limit(1).count():
-            self._add(self._exact(rest))
+            return pairs
+        return _labelled(_labelled(pairs, self.labels, "a", "la"), self.labels, "b", "lb").filter("la <> lb").drop("la", "lb")
+
+    def _verify(self, likely: DataFrame) -> None:
+        likely = written(self._crossing(likely), "likely")
+        for _ in range(2):
+            if not likely.limit(1).count():
+                return
+            ends = likely.select(F.col("a").alias("node"), F.col("b").alias("other"), "matches").unionByName(likely.select(F.col("b").alias("node"), F.col("a").alias("other"), "matches"))
+            best = ends.groupBy("node").agg(F.max(F.struct("matches", F.col("other").alias("other"))).alias("x")).select(F.least("node", "x.other").alias("a"), F.greatest("node", "x.other").alias("b")).distinct()
+            best = written(best, "best")
+            self._add(self._exact(best))
+            likely = written(self._crossing(likely.join(best, ["a", "b"], "left_anti")), "likely")
+        if likely.limit(1).count():
+            self._add(self._exact(likely.select("a", "b")))
 
     def _add(self, links: DataFrame) -> None:
         links = written(links, "links")
@@ -284,10 +319,9 @@ class Finder:
 
         return pairs.mapInArrow(run, "a long, b long, matches long")
 
-    def _exact(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose full sets reach the threshold."""
-        words, hundredths = self.words, round(self.threshold * 100)
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    def _take_sets(self, nodes: DataFrame) -> None:
+        """The full sets of the classes that meet any other: texts move once."""
+        words = self.words
         asked = self.classes.join(nodes, "node").select("node", "d1", "d2", F.col("first").alias("__id"))
         texts = self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(asked, F.col("doc_id").eqNullSafe(F.col("__id"))).select("node", "d1", "d2", "text")
 
@@ -303,7 +337,13 @@ class Finder:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["node", "hashes"])
 
-        full = written(texts.mapInArrow(sets, "node long, hashes binary"), "sets").dropDuplicates(["node"])
+        self.sets = written(texts.mapInArrow(sets, "node long, hashes binary"), "sets")
+
+    def _exact(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose full sets reach the threshold."""
+        hundredths = round(self.threshold * 100)
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        full = self.sets.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
