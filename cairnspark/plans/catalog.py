@@ -1,4 +1,258 @@
-"""The registered queries and their SQL."""
+"""The registered queries and the same results in DuckDB's SQL."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cairnspark.operators import analysis, dedup, stats
+from cairnspark.sources import archive
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(f):
+        QUERIES[name or f.__name__] = f
+        if sql:
+            SQL[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, length, fp: no text leaves the scan."""
+    return _table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("long").alias("length"), F.sha1(F.encode("text", "UTF-8")).alias("fp"))
+
+
+def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = dedup.mark_duplicates(_docs(spark, sf_dir), ("doc_id",))
+    return rows.select("doc_id", "length", "fp", F.col("ref.doc_id").alias("ref_id"), "is_duplicate")
+
+
+_F = "f AS (SELECT doc_id, strlen(text)::BIGINT AS length, sha1(text) AS fp FROM documents)"
+_M = f"{_F}, m AS (SELECT *, min(doc_id) OVER (PARTITION BY fp) AS ref_id, doc_id <> min(doc_id) OVER (PARTITION BY fp) AS is_duplicate FROM f)"
+
+
+@query(f"WITH {_F} SELECT * FROM f")
+def doc_fingerprint(spark, sf_dir):
+    return _docs(spark, sf_dir)
+
+
+@query(f"WITH {_M} SELECT * FROM m")
+def doc_mark_duplicates(spark, sf_dir):
+    return _marked(spark, sf_dir)
+
+
+@query(f"WITH {_M} SELECT doc_id, length, fp FROM m WHERE NOT is_duplicate")
+def doc_unique(spark, sf_dir):
+    return _marked(spark, sf_dir).filter("not is_duplicate").select("doc_id", "length", "fp")
+
+
+@query(f"WITH {_M} SELECT doc_id, ref_id FROM m WHERE is_duplicate")
+def doc_duplicate_only(spark, sf_dir):
+    return _marked(spark, sf_dir).filter("is_duplicate").select("doc_id", "ref_id")
+
+
+@query(f"WITH {_F} SELECT doc_id, fp FROM f WHERE doc_id % 2 = 1 AND fp IN (SELECT fp FROM f WHERE doc_id % 2 = 0)")
+def fp_semi(spark, sf_dir):
+    """The odd half against the even half's fingerprints."""
+    rows = _docs(spark, sf_dir).select("doc_id", "fp")
+    return dedup.known_only(rows.filter("doc_id % 2 = 1"), rows.filter("doc_id % 2 = 0")).select("doc_id", "fp")
+
+
+@query(f"WITH {_F} SELECT doc_id, fp FROM f WHERE doc_id % 2 = 1 AND fp NOT IN (SELECT fp FROM f WHERE doc_id % 2 = 0)")
+def fp_anti(spark, sf_dir):
+    rows = _docs(spark, sf_dir).select("doc_id", "fp")
+    return dedup.new_only(rows.filter("doc_id % 2 = 1"), rows.filter("doc_id % 2 = 0")).select("doc_id", "fp")
+
+
+@query(f"WITH {_M} SELECT d.doc_id, d.ref_id, o.length AS ref_length FROM m d JOIN m o ON d.ref_id = o.doc_id WHERE d.is_duplicate")
+def duplicate_resolve(spark, sf_dir):
+    """Each duplicate with its original."""
+    rows = _marked(spark, sf_dir)
+    own = rows.filter("not is_duplicate").select("fp", F.col("length").alias("ref_length"))
+    return rows.filter("is_duplicate").join(own, "fp").select("doc_id", "ref_id", "ref_length")
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents),
+g AS (SELECT sha1(line) AS fp, min((doc_id, line_no)) AS ref, count(*) AS n, max(strlen(line)) AS length FROM l GROUP BY 1)
+SELECT fp, ref[1]::BIGINT AS doc_id, ref[2]::BIGINT AS line_no, n::BIGINT AS n, length::BIGINT AS length FROM g""".replace("ref[1]", "struct_extract(ref, 1)").replace("ref[2]", "struct_extract(ref, 2)"))
+def line_dedup(spark, sf_dir):
+    """Distinct lines with their first place and number."""
+    lines = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    rows = lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.octet_length("line").alias("length"), F.sha1(F.encode("line", "UTF-8")).alias("fp"))
+    got = rows.groupBy("fp").agg(F.min(F.struct("doc_id", "line_no")).alias("ref"), F.count("*").alias("n"), F.max("length").cast("long").alias("length"))
+    return got.select("fp", "ref.doc_id", "ref.line_no", "n", "length")
+
+
+@query(f"WITH {_M} SELECT doc_id, CASE WHEN is_duplicate THEN 0 ELSE 1 END AS type, CASE WHEN is_duplicate THEN 20 ELSE length END::BIGINT AS length, CASE WHEN is_duplicate THEN fp ELSE sha1(text) END AS content_id FROM m JOIN documents USING (doc_id)")
+def records_none(spark, sf_dir):
+    """Archive records without compression, whole documents as chunks."""
+    rows = _marked(spark, sf_dir)
+    dup = F.col("is_duplicate")
+    return rows.select("doc_id", F.when(dup, 0).otherwise(1).alias("type"), F.when(dup, F.lit(20).cast("long")).otherwise(F.col("length")).alias("length"), F.col("fp").alias("content_id"))
+
+
+def _totals(spark, sf_dir) -> DataFrame:
+    return stats.totals(_marked(spark, sf_dir), "length")
+
+
+_T = f"""{_M}, t AS (SELECT count(*) AS n_chunks, sum(is_duplicate::INT)::BIGINT AS n_duplicates, sum(length)::BIGINT AS total_input,
+sum(CASE WHEN NOT is_duplicate THEN length ELSE 0 END)::BIGINT AS total_dedup, sum(CASE WHEN NOT is_duplicate THEN length ELSE 0 END)::BIGINT AS total_compressed,
+(5 + sum(9 + CASE WHEN is_duplicate THEN 20 ELSE length END))::BIGINT AS total_output, round(avg(length), 6) AS mean_length, round(stddev_pop(length), 6) AS stddev_length FROM m)"""
+
+
+@query(f"WITH {_T} SELECT * FROM t")
+def dedup_totals(spark, sf_dir):
+    return _totals(spark, sf_dir).withColumns({c: F.round(c, 6) for c in ("mean_length", "stddev_length")})
+
+
+@query(f"""WITH {_T} SELECT round(100.0 * n_duplicates / n_chunks, 6) AS duplicate_pct, round(total_input / total_dedup, 6) AS dedup_factor, round(total_dedup / total_compressed, 6) AS compression_factor,
+round(total_input / total_output, 6) AS total_factor, round(100.0 * (total_output - total_compressed) / total_output, 6) AS overhead_pct FROM t""")
+def dedup_percentages(spark, sf_dir):
+    got = stats.percentages(_totals(spark, sf_dir))
+    return got.select(*(F.round(c, 6).alias(c) for c in got.columns))
+
+
+_SIZES = "s AS (SELECT strlen(text)::BIGINT AS length FROM documents UNION ALL SELECT strlen(html)::BIGINT FROM pages)"
+
+
+@query(f"WITH {_SIZES} SELECT least(length >> 7, 255)::BIGINT AS slot, (least(length >> 7, 255) * 128 + 64)::BIGINT AS midpoint, count(*) AS n FROM s GROUP BY 1, 2")
+def size_histogram(spark, sf_dir):
+    lengths = [_table(spark, sf_dir, t).select(F.octet_length(c).cast("long").alias("length")) for t, c in (("documents", "text"), ("pages", "html"))]
+    return stats.histogram(lengths[0].unionByName(lengths[1]))
+
+
+@query("""WITH s AS (SELECT strlen(text)::BIGINT AS length FROM documents), e AS (SELECT min(length) AS low, max(length) AS high, count(*) AS total FROM s),
+b AS (SELECT CASE WHEN high > low THEN least(floor((length - low) * 50 / (high - low)), 49) ELSE 0 END::BIGINT AS bin, (high - low) / 50 AS w, total FROM s, e)
+SELECT bin, count(*) AS n, round(count(*) / (any_value(total) * any_value(w)), 9) AS density FROM b GROUP BY bin""")
+def size_histogram_50(spark, sf_dir):
+    rows = _table(spark, sf_dir, "documents").select(F.octet_length("text").cast("long").alias("length"))
+    return stats.density(rows).withColumn("density", F.round("density", 9))
+
+
+def _restored(column: str) -> list[F.Column]:
+    return [F.octet_length(column).cast("long").alias("n_bytes"), F.sha1(column).alias("sha1")]
+
+
+_BACK = "SELECT {0}::BIGINT AS stream_id, strlen({1})::BIGINT AS n_bytes, sha1({1}) AS sha1 FROM {2} WHERE strlen({1}) > 0"
+
+
+def _reassembled(table: str, id_col: str, column: str, window: int):
+    def run(spark, sf_dir):
+        cut = dedup.chunks(dedup.blobs(_table(spark, sf_dir, table), id_col, column), window)
+        parts = F.array_sort(F.collect_list(F.struct("l1", "l2", "data")))
+        whole = cut.groupBy("stream_id").agg(F.aggregate(parts, F.lit(b""), lambda out, x: F.concat(out, x["data"])).alias("content"))
+        return whole.select("stream_id", *_restored("content"))
+
+    return run
+
+
+for _t, _i, _c in (("documents", "doc_id", "text"), ("pages", "page_id", "html")):
+    for _w in (0, 32):
+        query(_BACK.format(_i, _c, _t), f"cdc_reassemble_w{_w}" + ("_pages" if _t == "pages" else ""))(_reassembled(_t, _i, _c, _w))
+
+
+def _round_trip(name: str):
+    def run(spark, sf_dir):
+        rows = dedup.blobs(_table(spark, sf_dir, "documents"), "doc_id", "text")
+        packed = dedup.coded(rows, name, "content", "packed").drop("content")
+        return dedup.coded(packed, name, "packed", "content", back=True).select("stream_id", *_restored("content"))
+
+    return run
+
+
+for _n in ("gzip", "bzip2", "lzss"):
+    query(_BACK.format("doc_id", "text", "documents"), f"{_n}_roundtrip")(_round_trip(_n))
+
+
+@query(_BACK.format("doc_id", "text", "documents"))
+def dedup_roundtrip(spark, sf_dir):
+    """Chunked, deduplicated across all documents, compressed and restored."""
+    done = dedup.encode(dedup.blobs(_table(spark, sf_dir, "documents"), "doc_id", "text"))
+    return dedup.decode(done, "gzip").select("stream_id", *_restored("content"))
+
+
+@query(_BACK.format("page_id", "html", "pages"))
+def archive_roundtrip(spark, sf_dir):
+    """An archive per page, parsed and restored."""
+    import pyarrow as pa
+
+    streams = dedup.blobs(_table(spark, sf_dir, "pages"), "page_id", "html")
+    cut = dedup.fingerprinted(dedup.chunks(streams))
+    # an archive stands alone: duplicates are sought within its stream
+    first = cut.groupBy("stream_id", "fp").agg(F.min(F.struct("l1", "l2")).alias("ref"))
+    marked = cut.join(first, ["stream_id", "fp"]).withColumn("is_duplicate", F.struct("l1", "l2") != F.col("ref"))
+    packed = dedup.coded(marked.withColumn("own", F.when(~F.col("is_duplicate"), F.col("data"))).drop("data"), "gzip", "own", "payload")
+    made = archive.bytes_of(packed, "gzip")
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([archive.restore(x) for x in batch.column(1).to_pylist()], pa.binary())], ["stream_id", "content"])
+
+    return made.mapInArrow(run, "stream_id long, content binary").select("stream_id", *_restored("content"))
+
+
+@query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position, sum(strlen(text)) OVER (PARTITION BY conv_id ORDER BY turn) - strlen(text) AS start FROM conversations".replace("AS start", '::BIGINT AS "start"').replace("- strlen(text) ::", "- strlen(text))::").replace("sum(strlen", "(sum(strlen"))
+def ordered_records(spark, sf_dir):
+    """Turns in order, with their place and byte offset in the conversation."""
+    from pyspark.sql import Window
+
+    by = Window.partitionBy("conv_id").orderBy("turn")
+    size = F.octet_length("text").cast("long")
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.row_number().over(by).cast("long").alias("position"), (F.sum(size).over(by) - size).alias("start"))
+
+
+def _runs(spark, sf_dir) -> DataFrame:
+    """Events as benchmark runs: the type is the data set, users are spread over modes and threads."""
+    return _table(spark, sf_dir, "events").select(F.col("event_type").alias("dataset"), F.concat(F.lit("mode"), F.col("user_id") % 3).alias("mode"), (F.col("event_id") % 4).alias("threads"), F.col("value").alias("total_time"))
+
+
+_R = "r AS (SELECT event_type AS dataset, 'mode' || (user_id % 3) AS mode, event_id % 4 AS threads, value AS total_time FROM events)"
+_G = f"{_R}, g AS (SELECT dataset, mode, threads, avg(total_time) AS avg_time, stddev_samp(total_time) AS stdev, count(*) AS n FROM r GROUP BY ALL)"
+_SPEED = "round(base / avg_time, 6) AS speedup, round(coalesce(base / (avg_time + stdev) - base / avg_time, 0), 6) AS error"
+
+
+@query(f"WITH {_G} SELECT dataset, mode, threads, round(avg_time, 6) AS avg_time, round(stdev, 6) AS stdev, n FROM g")
+def result_group_stats(spark, sf_dir):
+    return analysis.group_stats(_runs(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("avg_time", "stdev")})
+
+
+@query(f"WITH {_G}, b AS (SELECT avg(total_time) AS base FROM r WHERE mode = 'mode0') SELECT dataset, mode, threads, {_SPEED} FROM g, b WHERE mode <> 'mode0'")
+def result_speedup(spark, sf_dir):
+    return analysis.speedups(_runs(spark, sf_dir), "mode0", "global").withColumns({c: F.round(c, 6) for c in ("speedup", "error")})
+
+
+@query(f"WITH {_G}, b AS (SELECT dataset, avg(total_time) AS base FROM r WHERE mode = 'mode0' GROUP BY 1) SELECT dataset, mode, threads, {_SPEED} FROM g LEFT JOIN b USING (dataset) WHERE mode <> 'mode0'")
+def result_speedup_correlated(spark, sf_dir):
+    return analysis.speedups(_runs(spark, sf_dir), "mode0").withColumns({c: F.round(c, 6) for c in ("speedup", "error")})
+
+
+@query(f"""WITH {_G}, u AS (SELECT dataset, mode, threads, avg_time FROM g WHERE mode = 'mode0' UNION SELECT dataset, mode, threads + 1, avg_time FROM g WHERE mode <> 'mode0')
+SELECT dataset, mode, threads, round(avg_time, 6) AS avg_time FROM u UNION SELECT * FROM (SELECT 'best' AS dataset, mode, threads, round(avg_time, 6) FROM g ORDER BY avg_time, dataset, mode, threads LIMIT 1)""")
+def result_union_best(spark, sf_dir):
+    runs = _runs(spark, sf_dir)
+    g = analysis.group_stats(runs).select("dataset", "mode", "threads", "avg_time")
+    u = g.filter("mode = 'mode0'").union(g.filter("mode <> 'mode0'").withColumn("threads", F.col("threads") + 1))
+    top = analysis.best(runs).withColumn("dataset", F.lit("best"))
+    return u.union(top).withColumn("avg_time", F.round("avg_time", 6)).distinct()
+
+
+@query(f"WITH {_R} SELECT DISTINCT mode || '_' || threads AS label, dataset FROM r WHERE dataset ILIKE '%C%' AND mode <> 'mode1'")
+def result_modes(spark, sf_dir):
+    runs = _runs(spark, sf_dir).filter(F.col("dataset").ilike("%C%") & (F.col("mode") != "mode1"))
+    return runs.select(F.concat("mode", F.lit("_"), "threads").alias("label"), "dataset").distinct()
+
+
+@query("""SELECT event_id, coalesce(nullif(regexp_extract(props, '"k": ([0-9]+)', 1), ''), '-1') AS k, coalesce(nullif(regexp_extract(props, 'It took ([0-9.]+)', 1), ''), '0') AS took FROM events""")
+def log_extract(spark, sf_dir):
+    return _table(spark, sf_dir, "events").select("event_id", analysis.extracted(F.col("props"), '"k": ([0-9]+)', "-1").alias("k"), analysis.extracted(F.col("props"), "It took ([0-9.]+)", "0").alias("took"))
