@@ -46,9 +46,9 @@ def _words(text: F.Column) -> F.Column:
 
 
 def _bigrams(words: F.Column) -> F.Column:
-    """Distinct; words must be two at least."""
-    n = F.size(words)
-    return F.array_distinct(F.zip_with(F.slice(words, F.lit(1), n - 1), F.slice(words, F.lit(2), n - 1), lambda a, b: F.concat(a, F.lit(" "), b)))
+    """Distinct; none of fewer than two words."""
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.array_distinct(F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b)))
 
 
 def _templates(like: DataFrame, templates: dict[str, str]) -> DataFrame:

@@ -24,8 +24,6 @@ kept; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -76,7 +74,7 @@ def _odds_rank(u: F.Column, p: F.Column) -> F.Column:
     return odds / (1 + odds)
 
 
-def _fill(keys, rows: pd.DataFrame) -> pd.DataFrame:
+def _fill(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values(["rank", "doc_id", "size"], kind="stable", na_position="last")
     left, chosen = rows["left"].iloc[0], []
     for size in rows["size"]:

@@ -379,6 +379,6 @@ def representatives(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one row of each component: the first with its least id; rows without words stay."""
     numbered = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
     marks = near_duplicates(numbered, row=F.col("__row"), **options)
-    first = marks.filter("kept and n_shingles > 0").groupBy("component_id").agg(F.min("row").alias("row")).select("row")
-    keep = first.unionByName(marks.filter("n_shingles = 0").select("row"))
-    return numbered.join(keep, F.col("__row") == F.col("row"), "left_semi").select(*docs.columns)
+    first = marks.filter("kept and n_shingles > 0").groupBy("component_id").agg(F.min("row").alias("__keep")).select("__keep")
+    keep = first.unionByName(marks.filter("n_shingles = 0").select(F.col("row").alias("__keep")))
+    return numbered.join(keep, F.col("__row") == F.col("__keep"), "left_semi").select(*docs.columns)

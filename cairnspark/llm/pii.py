@@ -242,7 +242,7 @@ def replaced(text: str, spans: list[tuple[str, int, int]]) -> str:
 def sanitised(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with personal data and what discloses it taken out of ``text``, and ``n_chars`` made anew."""
     kept = written(docs.withColumn("__row", F.monotonically_increasing_id()), "texts")
-    spans = _spans(kept, F.col("__row"), **options).filter(F.size("base") > 0).select(F.col("row").alias("__of"), "base", F.col("more"))
+    spans = _spans(kept, F.col("__row"), **options).filter(F.size("base") > 0).select(F.col("row").alias("__of"), F.col("base").alias("__base"), F.col("more").alias("__more"))
     marked = kept.join(spans, F.col("__row") == F.col("__of"), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,7 +252,7 @@ def sanitised(docs: DataFrame, **options) -> DataFrame:
 
     others = [c for c in docs.columns if c != "text"]
     schema = docs.select(*others).schema.add("text", "string")
-    done = marked.select(*others, F.col("text").cast("string"), F.col("base").alias("__base"), F.col("more").alias("__more")).mapInArrow(run, schema)
+    done = marked.select(*others, F.col("text").cast("string"), "__base", "__more").mapInArrow(run, schema)
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return done.select(*docs.columns)

@@ -1,0 +1,298 @@
+"""The operators over small tables: nulls, empty and long texts, ties, repeated rows, empty
+tables, clashing columns; and against brute force."""
+
+import hashlib
+import random
+import re
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from cairnspark.llm import fingerprint, html, licences, mixing, neardup, neighbours, packing, pii, queries, toxicity, warc
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+DIR = "/root/testdata/sf0.001"
+
+
+def _texts():
+    r = random.Random(11)
+    words = [f"w{i}" for i in range(400)]
+    base = [[r.choice(words) for _ in range(60)] for _ in range(25)]
+    out = [" ".join(w) for w in base]
+    for w in base[:12]:
+        for edits in (1, 2, 3, 4):
+            copy = list(w)
+            for _ in range(edits):
+                copy[r.randrange(60)] = "x"
+            out.append(" ".join(copy))
+    return out + out[:5] + ["", None, "  ", "one two", "ONE two", "a b c d", "word " * 20_000, "call +1 (555) 123-4567 or me@x.org, Zanzibar"]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en", f"s{i % 4}" if i % 9 else None, len(t or "")) for i, t in enumerate(_texts())]
+    rows += [rows[3], (None, "null id text here", "en", "s1", 1), (None, None, None, None, None)]
+    # columns whose names the operators use themselves
+    return spark.createDataFrame(rows, DOCS).withColumns({c: F.lit(1) for c in ("row", "size", "n", "score", "node", "label", "rank", "base")}).repartition(3).cache()
+
+
+def bare(df):
+    return df.select("doc_id", "text", "lang", "source", "n_chars")
+
+
+def test_near_duplicates(docs):
+    got = neardup.near_duplicates(docs, words=4).collect()
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+
+    def words(t):
+        return [bytes(c + 32 if 65 <= c <= 90 else c for c in w) for w in re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode())]
+
+    sets = [frozenset(tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))) if (w := words(t)) else frozenset() for _, t in rows]
+    up = list(range(len(rows)))
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] and sets[j] and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                up[top(i)] = top(j)
+    least = defaultdict(list)
+    for i, (d, _) in enumerate(rows):
+        least[top(i)].append(d)
+    want = Counter((d, len(sets[i]), min((x for x in least[top(i)] if x is not None), default=None)) for i, (d, _) in enumerate(rows))
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
+def test_blocks_find_the_same(docs, monkeypatch):
+    want = {(r.doc_id, r.component_id) for r in neardup.near_duplicates(docs, words=4).collect()}
+    monkeypatch.setattr(neardup, "BLOCK", 3)
+
+    def run(self):
+        rows = self.buckets()
+        self._take_sets(rows.select("node").distinct())
+        self._verify(self._blocks(rows.withColumn("label", F.col("node"))))
+
+    monkeypatch.setattr(neardup.Finder, "run", run)
+    assert {(r.doc_id, r.component_id) for r in neardup.near_duplicates(docs, words=4).collect()} == want
+
+
+def test_representatives(docs):
+    got = neardup.representatives(docs)
+    assert got.columns == docs.columns
+    ids = Counter(r.doc_id for r in got.collect())
+    assert ids[3] == 1 and ids[0] == 1 and 73 not in ids  # 73 is a copy of 0
+    assert sum(r.text is None or not r.text.strip() for r in got.collect()) == 4
+
+
+def test_pii(spark, docs):
+    rows = {r.doc_id: r for r in pii.found(docs).collect()}
+    own = rows[max(i for i in rows if i is not None)]
+    assert (own.n_phone, own.n_email, own.n_ip, own.n_card) == (1, 1, 0, 0) and own.spans.startswith("phone:5:22,email:26:34")
+    assert own.base_sha256 == hashlib.sha256(b"phone:5:22,email:26:34").hexdigest()
+    done = pii.sanitised(docs)
+    assert done.columns == docs.columns and done.count() == docs.count()
+    assert done.filter("text like '%@%'").count() == 0 and done.filter("text like 'call [PHONE] or [EMAIL]%'").count() == 1
+    assert done.filter("length(text) <> n_chars").count() == 0
+
+
+def test_disclosing_terms(spark):
+    rows = [(i, f"write to boss@corp.org about Zyxograph number {i}") for i in range(6)] + [(i, "write about the number of things") for i in range(6, 60)]
+    got = {r.doc_id: r.spans for r in pii.found(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == "email:9:22,term:29:38" and not got[20]
+
+
+def test_fingerprints(docs):
+    rows = sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+    want = Counter()
+    for k, (d, t) in enumerate(rows):
+        e = fingerprint.edited(t, rows[(k + 1) % len(rows)][1])
+        want[d, len(t), hashlib.sha256(e.encode()).hexdigest(), *fingerprint.fingerprints([t, e])] += 1
+    got = fingerprint.fingerprinted(docs).collect()
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) for r in got) == want
+    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
+
+
+def test_mixing(docs):
+    rows = mixing.mixed(docs).collect()
+    assert len(rows) == docs.count()
+    total, taken, goal, size = sum(r.size for r in rows), Counter(), {}, Counter()
+    for r in rows:
+        taken[r.source] += r.copies * r.size
+        size[r.source] += r.size
+        goal[r.source] = r.target
+        assert 0 <= r.copies <= 3
+    names = sorted((s for s in goal if s is not None)) + [None]
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+    open_, left, want = set(names), float(total), {}
+    while True:  # share out, stop at three times, share the rest again
+        share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        over = {s for s in open_ if share[s] > 3 * size[s]}
+        if not over:
+            want |= share
+            break
+        for s in over:
+            want[s] = 3.0 * size[s]
+            left -= want[s]
+        open_ -= over
+    assert all(abs(goal[s] - want[s]) < 1e-6 * max(1, total) for s in names)
+    assert sorted(mixing.mixed(docs).collect(), key=str) == sorted(rows, key=str)
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns and mixed.count() == sum(r.copies for r in rows)
+
+
+def test_mixing_is_near(spark):
+    r = random.Random(2)
+    rows = [(i, "w " * r.randrange(1, 200), f"s{min(int(r.expovariate(1)), 5)}") for i in range(3000)]
+    got = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    for x in got.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"), F.first("target").alias("target")).collect():
+        assert abs(x.taken - x.target) <= 0.01 * x.target + 5
+
+
+def test_packing(spark, docs):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    pieces = packing.pack(docs, path).collect()
+    ids = packing.Ids(path)
+    want = Counter((r.doc_id, len(ids.of(r.text or ""))) for r in docs.collect())
+    got = Counter()
+    for p in pieces:
+        got[p.doc_id, p.doc_tokens] += p.length
+    assert {k: v / k[1] for k, v in got.items()} == want
+    sequences = defaultdict(list)
+    for p in pieces:
+        sequences[p.sequence_id].append((p.offset, p.length))
+    for own in sequences.values():
+        at = 0
+        for offset, n in sorted(own):
+            assert offset == at
+            at += n
+        assert at <= 1024
+
+
+def test_licences(spark):
+    rows = [(1, "x\nReleased under the MIT License."), (2, "Licensed under CC BY-NC 4.0"), (3, None), (4, ""), (5, "the"), (1, "x\nReleased under the MIT License."), (None, "licensed under the apache license version 2 0 " + "\nx" * 5000)]
+    got = Counter((r.doc_id, r.licence, r.unit) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter([(1, "MIT", 1), (2, "CC-BY-NC-4.0", 0), (3, None, None), (4, None, None), (5, None, None), (1, "MIT", 1), (None, "Apache-2.0", 1)])
+
+
+def test_warc(spark, tmp_path):
+    long = "<p>" + "é" * 3000 + "</p>"
+    rows = [(i, f"http://www.h{i % 5}.example.com/{i}", long if i % 3 == 0 else f"<p>{i}</p>" * (i * 30)) for i in range(40)] + [(40, None, None), (41, "http://x y/", "a" * 999), (42, "", "a" * 999), (43, "u", "<b>" * 200_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    segments = warc.write(pages, segment_bytes=3000)
+    assert segments.count() > 4
+    blocks = warc.index(warc.captures(segments), block_lines=7)
+    got = {r.page_id: r for r in warc.round_trip(pages).collect()}
+    assert len(got) == 44
+    for i, _, text in rows:
+        data = (text or "").encode()
+        same = [j for j, _, t in rows if (t or "").encode() == data]
+        kind = ("revisit", max(same)) if len(data) >= 1000 and max(same) != i else ("response", None)
+        assert (got[i].payload_bytes, got[i].payload_digest, got[i].record_type, got[i].refers_to) == (len(data), hashlib.sha1(data).hexdigest(), *kind)
+    found = warc.lookup(blocks, segments, [rows[7][1], "http://nowhere.example"]).collect()
+    assert [(r.page_id, bytes(r.payload).decode()) for r in found] == [(7, rows[7][2])]
+    folder = tmp_path / "warc"
+    folder.mkdir()
+    warc.files(segments, str(folder))
+    assert sum(1 for f in folder.iterdir() for _ in warc._starts(f.read_bytes())) == 44
+
+
+def test_neighbours(spark):
+    r = random.Random(4)
+    rows = [(i, [r.choice([-1.0, 0.0, 1.0, 2.0]) for _ in range(5)]) for i in range(300)]
+    rows += [(300 + i, [1.0] * 5) for i in range(100)] + [(500, None), (520, [0.0] * 5), (540, [1.0, None, 1.0, 1.0, 1.0]), (560, [float("nan")] * 5), (580, [1.0, 2.0]), (600, [float("inf")] * 5), (620, []), (None, [1.0] * 5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("label", F.lit(1))
+    good = [(i, v) for i, v in rows if i is not None and i < 400 and any(v)]
+    want = set()
+    for q, v in good:
+        if q % 20 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in good if i != q)[:20]
+            want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(best)}
+    for shard in (4096, 60):
+        got = neighbours.nearest(df, factor=1.0, shard=shard, sample=256)
+        assert {tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()} == want
+    few = [r.vec_id for r in neighbours.nearest(df.filter("vec_id < 6")).filter("query_id = 0").collect()]
+    assert len(few) == sum(i and any(v) for i, v in rows[:6]) * any(rows[0][1])
+
+
+def test_recall(spark):
+    import numpy as np
+
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    x = df.orderBy("vec_id").toPandas()
+    v, ids = np.stack(x.embedding.to_list()).astype(float), x.vec_id.to_numpy()
+    got = defaultdict(set)
+    for r in neighbours.nearest(df, shard=512, sample=512).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = 0
+    for k in np.flatnonzero(ids % 20 == 0):
+        s = v @ v[k]
+        s[k] = -np.inf
+        hits += len(got[ids[k]] & set(ids[np.argsort(-s, kind="stable")[:20]].tolist()))
+    assert hits / (20 * len(got)) >= 0.9
+
+
+def test_toxicity(spark):
+    r = random.Random(9)
+    rows, labels = [], []
+    for i in range(600):
+        words = [r.choice(["the", "and", "house", "tree", "walk", "you", "blue"]) for _ in range(40)]
+        if i % 4 == 0:
+            for _ in range(3):
+                words[r.randrange(40)] = r.choice(["idiot", "moron", "snorfle"])
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 4 == 0)))
+    rows += [(600, None), (601, ""), (None, "x"), rows[0], (602, "word " * 30_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("x"))
+    known = spark.createDataFrame([*labels, (601, None), (None, 1)], "doc_id long, toxic int")
+    got = toxicity.score(docs, toxicity.fit(docs, known), ["doc_id"]).collect()
+    assert len(got) == len(rows) and all(0 <= x.score <= 1 for x in got)
+    assert sum((x.score >= 0.5) == (x.doc_id % 4 == 0) for x in got if x.doc_id is not None and x.doc_id < 600) >= 595
+    for labels in (known.limit(0), known.filter("toxic = 0")):
+        assert {x.score for x in toxicity.score(docs, toxicity.fit(docs, labels), ["doc_id"]).collect()} == {0.0}
+
+
+def test_held_out(spark):
+    got = queries.op6_toxicity(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").filter("held_out").collect()
+    assert len(got) > 50 and sum(r.predicted == r.toxic for r in got) / len(got) > 0.9
+
+
+def test_html(spark):
+    rows = [(1, "u", "<article><p>a</p></article>"), (1, "u", "<article><p>a</p></article>"), (None, None, None), (2, "v", "")]
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1)))
+    assert Counter(map(tuple, got.collect())) == Counter([(1, "u", "a", 1), (1, "u", "a", 1), (None, None, "", 0), (2, "v", "", 0)])
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], DOCS)
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    vectors = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    import public_tokenizers
+
+    made = [
+        html.extract(pages), pii.found(none), pii.sanitised(none), fingerprint.fingerprinted(none), licences.scan(none), warc.round_trip(pages), toxicity.score(none, toxicity.fit(none, labels), ["doc_id"]),
+        mixing.mixed(none), mixing.mix(none), packing.pack(none, public_tokenizers.path("byte_bpe_50k.json")), neardup.near_duplicates(none), neardup.representatives(none), neighbours.nearest(vectors),
+    ]
+    assert [x.count() for x in made] == [0] * len(made)
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    at, seen = docs, []
+    for name, stage in corpus_pipeline.STAGES:
+        from cairnspark.llm.shared import written
+
+        at = written(stage(spark, at, DIR), name)
+        seen.append((name, at.count(), at.columns))
+    assert all(c == docs.columns for _, _, c in seen[:-1]) and "sequence_id" in seen[-1][2]
+    assert docs.count() >= seen[0][1] >= seen[1][1] == seen[2][1] > 0
