@@ -4,8 +4,10 @@ Units are each line of a text (numbered from 1) and the whole text (0).  A unit
 normalised to lower-case letters, digits and single blanks.  Its distinct word bigrams are
 compared with each template's: 2 * common / (own + template's).  Bounds prune first: two
 sets of sizes a and b reach a coefficient t only if 2 * min(a, b) >= t * (a + b), so a unit
-that fits no template is never cut into bigrams.  Only bigrams of templates pass the join,
-so what is shuffled is a few rows per notice found.  All steps are DataFrame functions.
+that fits no template is never cut into bigrams.  The same bound says how many bigrams of a
+template a match must hold, so each template has a few probe words of which every match holds
+one; units without any probe word are passed over unparsed.  Only bigrams of templates pass
+the join, so what is shuffled is a few rows per notice found.  All steps are DataFrame functions.
 
 Templates are broadcast if there are ``BROADCAST`` at most, and joined otherwise.
 
@@ -16,11 +18,17 @@ repeated rows give a row each; extra columns are ignored; an empty table gives n
 
 from __future__ import annotations
 
+import functools
+import math
+import operator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LEAST = 0.8
 BROADCAST = 1000
+#: With more probe words than this, units are not probed.
+PROBES = 64
 # Short licence notices by name.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -58,11 +66,35 @@ def _templates(like: DataFrame, templates: dict[str, str]) -> DataFrame:
     return rows.select("licence", _bigrams(F.col("w")).alias("b")).select("licence", F.size("b").alias("own"), F.explode("b").alias("bigram"))
 
 
+def probes(templates: dict[str, str], least: float) -> list[str]:
+    """Words of which every unit that matches any template holds one at least.
+
+    A match of n bigrams shares least * (n + own) / 2 with the template, and n is own * least /
+    (2 - least) at least.  Words are taken, the longest first, until the bigrams without any of
+    them are too few for a match."""
+    out: set[str] = set()
+    for text in templates.values():
+        words = _plain(text)
+        left = set(zip(words, words[1:], strict=False))
+        own = len(left)
+        need = math.ceil(least * (math.ceil(own * least / (2 - least) - 1e-9) + own) / 2 - 1e-9)
+        for w in sorted(set(words), key=lambda w: (w not in out, -len(w), w)):
+            if len(left) < need:
+                break
+            out.add(w)
+            left = {b for b in left if w not in b}
+    return sorted(out)
+
+
 def matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST) -> DataFrame:
     """row, unit, licence, score of all matches; ``row`` numbers the rows of ``docs`` as scanned."""
     wanted = _templates(docs, templates)
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text"))
     units = texts.select("row", F.posexplode(F.concat(F.array("text"), F.split("text", "\n"))).alias("unit", "part"))
+    wanted_words = probes(templates, least)
+    if 0 < len(wanted_words) <= PROBES:
+        low_case = F.lower("part")
+        units = units.filter(functools.reduce(operator.or_, (F.contains(low_case, F.lit(w)) for w in wanted_words)))
     words = units.select("row", "unit", _words(F.col("part")).alias("w"))
     # a unit of n words has n - 1 bigrams at most, and some may be equal: only the lower bound prunes words
     sizes = [len(set(zip(w, w[1:], strict=False))) for w in (_plain(t) for t in templates.values()) if len(w) > 1]
