@@ -18,9 +18,7 @@ repeated rows give a row each; extra columns are ignored; an empty table gives n
 
 from __future__ import annotations
 
-import functools
 import math
-import operator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -93,14 +91,15 @@ def matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float
     units = texts.select("row", F.posexplode(F.concat(F.array("text"), F.split("text", "\n"))).alias("unit", "part"))
     wanted_words = probes(templates, least)
     if 0 < len(wanted_words) <= PROBES:
-        low_case = F.lower("part")
-        units = units.filter(functools.reduce(operator.or_, (F.contains(low_case, F.lit(w)) for w in wanted_words)))
-    words = units.select("row", "unit", _words(F.col("part")).alias("w"))
+        # the words are ASCII letters and digits; one pass, and no copy of the text in lower case
+        units = units.filter(F.col("part").rlike(f"(?i)(?:{'|'.join(wanted_words)})"))
+    # arrays of one are exploded so that the optimizer doesn't copy what is made here into each use
+    words = units.select("row", "unit", F.explode(F.array(_words(F.col("part")))).alias("w"))
     # a unit of n words has n - 1 bigrams at most, and some may be equal: only the lower bound prunes words
     sizes = [len(set(zip(w, w[1:], strict=False))) for w in (_plain(t) for t in templates.values()) if len(w) > 1]
     low = min(sizes, default=1) * least / (2 - least)
     high = max(sizes, default=1) * (2 - least) / least
-    cut = words.filter(F.size("w") - 1 >= low - 1e-9).select("row", "unit", _bigrams(F.col("w")).alias("b")).filter((F.size("b") >= low - 1e-9) & (F.size("b") <= high + 1e-9))
+    cut = words.filter(F.size("w") - 1 >= low - 1e-9).select("row", "unit", F.explode(F.array(_bigrams(F.col("w")))).alias("b")).filter((F.size("b") >= low - 1e-9) & (F.size("b") <= high + 1e-9))
     pairs = cut.select("row", "unit", F.size("b").alias("n"), F.explode("b").alias("bigram"))
     joined = pairs.join(F.broadcast(wanted) if len(templates) <= BROADCAST else wanted, "bigram")
     bounded = joined.filter(2 * F.least("n", "own") >= least * (F.col("n") + F.col("own")) - 1e-9)
