@@ -84,15 +84,23 @@ def probes(templates: dict[str, str], least: float) -> list[str]:
     return sorted(out)
 
 
+def _probe(words: list[str]) -> str:
+    """A pattern for any of the words, whole and in any case; most letters fail at its first class."""
+    firsts = "".join(sorted({c for w in words for c in (w[0].lower(), w[0].upper())}))
+    return f"(?=[{firsts}])(?<![A-Za-z0-9])(?i:{'|'.join(words)})(?![A-Za-z0-9])"
+
+
 def matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST) -> DataFrame:
     """row, unit, licence, score of all matches; ``row`` numbers the rows of ``docs`` as scanned."""
     wanted = _templates(docs, templates)
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text"))
-    units = texts.select("row", F.posexplode(F.concat(F.array("text"), F.split("text", "\n"))).alias("unit", "part"))
     wanted_words = probes(templates, least)
-    if 0 < len(wanted_words) <= PROBES:
-        # the words are ASCII letters and digits; one pass, and no copy of the text in lower case
-        units = units.filter(F.col("part").rlike(f"(?i)(?:{'|'.join(wanted_words)})"))
+    probed = 0 < len(wanted_words) <= PROBES
+    if probed:  # a text without any of the words has no unit with one, and isn't cut into units
+        texts = texts.filter(F.col("text").rlike(_probe(wanted_words)))
+    units = texts.select("row", F.posexplode(F.concat(F.array("text"), F.split("text", "\n"))).alias("unit", "part"))
+    if probed:
+        units = units.filter(F.col("part").rlike(_probe(wanted_words)))
     # arrays of one are exploded so that the optimizer doesn't copy what is made here into each use
     words = units.select("row", "unit", F.explode(F.array(_words(F.col("part")))).alias("w"))
     # a unit of n words has n - 1 bigrams at most, and some may be equal: only the lower bound prunes words
