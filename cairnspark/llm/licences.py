@@ -27,6 +27,8 @@ LEAST = 0.8
 BROADCAST = 1000
 #: With more probe words than this, units are not probed.
 PROBES = 64
+#: Words of everyday prose, probed for only where no others serve.
+COMMON = frozenset("a an and any are by for following in is may not of or subject that the this to under with you".split())
 # Short licence notices by name.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -68,7 +70,7 @@ def probes(templates: dict[str, str], least: float) -> list[str]:
     """Words of which every unit that matches any template holds one at least.
 
     A match of n bigrams shares least * (n + own) / 2 with the template, and n is own * least /
-    (2 - least) at least.  Words are taken, the longest first, until the bigrams without any of
+    (2 - least) at least.  Words are taken, the rare and long first, until the bigrams without any of
     them are too few for a match."""
     out: set[str] = set()
     for text in templates.values():
@@ -76,7 +78,7 @@ def probes(templates: dict[str, str], least: float) -> list[str]:
         left = set(zip(words, words[1:], strict=False))
         own = len(left)
         need = math.ceil(least * (math.ceil(own * least / (2 - least) - 1e-9) + own) / 2 - 1e-9)
-        for w in sorted(set(words), key=lambda w: (w not in out, -len(w), w)):
+        for w in sorted(set(words), key=lambda w: (w not in out, w in COMMON, -len(w), w)):
             if len(left) < need:
                 break
             out.add(w)
