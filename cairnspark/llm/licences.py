@@ -14,6 +14,8 @@ Templates are broadcast if there are ``BROADCAST`` at most, and joined otherwise
 Defined cases: null or empty text matches nothing; a unit of one word has no bigrams and
 matches nothing; of equal scores the earlier unit and then the lesser name is the best;
 repeated rows give a row each; extra columns are ignored; an empty table gives no rows.
+Rows are numbered in two scans of ``docs``, which must be a stored table or else come in the same
+order each time; write what comes out of a shuffle to a table first.
 """
 
 from __future__ import annotations
