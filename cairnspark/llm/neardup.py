@@ -4,17 +4,18 @@ Texts are sets of word shingles (64-bit hashes; a false match has a chance of so
 pair).  Equal sets are one class from the start, so copies cost nothing further.  Classes
 get ``BANDS * WIDTH`` MinHash values; those that agree in a band meet in a bucket.
 
-Candidates: buckets with the same members count once.  In each bucket a hub is compared with
-the other members: first the class that meets most others, then the one with most links, then
-one of the component with the fewest members there.  A bucket whose other members are by then
-in one component is settled, so a group of copies never has its pairs listed.  The members of
-what is left are compared in blocks of ``BLOCK``, signatures against signatures, and only
-pairs that stay likely leave the block.
+Candidates: buckets with the same members count once.  In each bucket a hub, the class that
+meets most others, is compared with the other members.  A bucket whose other members are by
+then in one component is settled, so a group of copies never has its pairs listed.  The
+members of what is left are compared across components in blocks of ``BLOCK``, signatures
+against signatures and then parity sketches, and only pairs that stay likely leave the block.
 
 Verification: signatures are compared ``BATCH`` values at a time, and a pair is dropped as
 soon as the posterior chance that its similarity reaches the threshold falls below ``MISS``.
-Survivors are verified on full sets: each class's likeliest partner first, twice, then what
-still crosses components.  A link at the threshold itself is missed with a chance of about
+In blocks a parity sketch (for each of 8 bits or more a shingle, whether an odd number of
+shingles falls on it) follows: two sketches differ in no more bits than the sets in shingles,
+so this bound drops no link.  Survivors are verified on full sets; those of blocks with each
+class's likeliest partner first, then what still crosses components.  A link at the threshold itself is missed with a chance of about
 1e-5 in the banding (48 bands of 7) and ``MISS`` a batch in the pruning, others less.
 
 Components grow by least labels and pointer jumping, as tables; nothing is collected.
@@ -76,6 +77,31 @@ def shingles(text: str | None, n: int, known: dict) -> np.ndarray:
     return np.unique(_mix(total))
 
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """Bits that an odd number of hashes falls on; a power of two of them, 8 or more a hash."""
+    bits = max(4096, 1 << (8 * len(hashes) - 1).bit_length())
+    return np.packbits(np.bincount((hashes & _U(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little")
+
+
+def near_enough(sketches: list[np.ndarray], n: np.ndarray, p: np.ndarray, q: np.ndarray, hundredths: int) -> np.ndarray:
+    """Which pairs (p, q) can be similar enough, by their sizes and parity sketches; n: sizes of the sets."""
+    ok = 100 * np.minimum(n[p], n[q]) >= hundredths * np.maximum(n[p], n[q])
+    most = (100 - hundredths) * (n[p] + n[q]) // (100 + hundredths)
+    sizes = np.array([len(x) for x in sketches])
+    width = np.minimum(sizes[p], sizes[q])
+    for w in np.unique(width[ok]).tolist():
+        own = np.flatnonzero(ok & (width == w))
+        used, at = np.unique(np.concatenate((p[own], q[own])), return_inverse=True)
+        # a sketch is folded to its half by adding its two halves' parities
+        rows = np.stack([np.bitwise_xor.reduce(sketches[k].reshape(-1, w), axis=0) for k in used.tolist()]).view(np.uint64)
+        x, y = at[: len(own)], at[len(own) :]
+        step = max(1, (1 << 21) // w)
+        for i in range(0, len(own), step):
+            cut = slice(i, i + step)
+            ok[own[cut]] = np.bitwise_count(rows[x[cut]] ^ rows[y[cut]]).sum(axis=1, dtype=np.int64) <= most[own[cut]]
+    return ok
+
+
 def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
     x = _mix(np.arange(1, 2 * n + 1, dtype=_U) * _U(0xD1B54A32D192ED03))
     return (x[:n] >> _U(32)).astype(np.uint32) | np.uint32(1), (x[n:] >> _U(32)).astype(np.uint32)
@@ -148,9 +174,10 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("m"))
         hop = labels.join(near, labels.node == near.a, "left").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
-        told = labels.select(F.col("node").alias("at"), F.col("label").alias("far"))
-        jumped = hop.join(told, hop.label == told["at"], "left").select("node", "old", F.least("label", "far").alias("label"))
-        new = written(jumped, "labels")
+        for k in range(2):
+            told = labels.select(F.col("node").alias(f"at{k}"), F.col("label").alias(f"far{k}"))
+            hop = hop.join(told, F.col("label") == F.col(f"at{k}"), "left").select("node", "old", F.least("label", f"far{k}").alias("label"))
+        new = written(hop, "labels")
         if not new.filter("old <> label").limit(1).count():
             return new.select("node", "label")
         labels = new.select("node", "label")
@@ -196,29 +223,20 @@ class Finder:
         rows = self.buckets()
         self._take_sets(rows.select("node").distinct())
         meets = rows.groupBy("node").agg(F.sum("n").alias("met"))
-        rows = rows.select("bucket", "node").join(meets, "node")
-        for turn in ("met", "met", "few"):
-            first = F.col("met") if turn == "met" else -F.col("few")
-            hubs = written(rows.groupBy("bucket").agg(F.max_by("node", F.struct(first, F.xxhash64("node"))).alias("hub")), "hubs")
-            self._verify(self._likely(self._hub_pairs(rows, hubs)))
-            rows = self._left(rows, hubs)
-            if not rows.limit(1).count():
-                return
-        self._verify(self._blocks(rows))
+        met = rows.select("bucket", "node").join(meets, "node")
+        hubs = written(met.groupBy("bucket").agg(F.max_by("node", F.struct("met", F.xxhash64("node"))).alias("hub")), "hubs")
+        # at most one pair a member, so all are verified at once
+        self._add(self._exact(written(self._likely(self._hub_pairs(rows, hubs)), "likely").select("a", "b")))
+        rows = self._left(rows, hubs)
+        if rows.limit(1).count():
+            self._verify(self._blocks(rows))
 
     def _left(self, rows: DataFrame, hubs: DataFrame) -> DataFrame:
-        """Members that were no hubs, of buckets in which they are of several components."""
+        """bucket, n, node, label: members that were no hubs, of buckets in which they are of several components."""
         rest = rows.select("bucket", "node").join(hubs, "bucket").filter("node <> hub").drop("hub")
         rest = written(_labelled(rest, self.labels, "node", "label"), "left")
         open_ = rest.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).filter("low < high")
-        rest = written(rest.join(open_.select("bucket", "n"), "bucket"), "open")
-        few = rest.groupBy("bucket", "label").agg(F.count("*").alias("few"))
-        if self.links is None:
-            degrees = self.own.limit(0).select("node", F.lit(0).cast("long").alias("met"))
-        else:
-            degrees = self.links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("met"))
-        rest = rest.join(few, ["bucket", "label"]).join(degrees, "node", "left")
-        return written(rest.select("bucket", "node", "label", "n", "few", F.coalesce("met", F.lit(0)).alias("met")), "open")
+        return written(rest.join(open_.select("bucket", "n"), "bucket"), "open")
 
     def _blocks(self, rows: DataFrame) -> DataFrame:
         """a, b, matches: likely pairs across components, from comparing a bucket's members block by block."""
@@ -226,28 +244,33 @@ class Finder:
         at = F.pmod(F.xxhash64("node", F.lit(3)), blocks).cast("int")
         dealt = rows.select("bucket", "node", "label", at.alias("at"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
         dealt = dealt.select("bucket", F.least("at", "other").alias("low"), F.greatest("at", "other").alias("high"), "at", "node", "label")
-        dealt = dealt.join(self.own.select("node", "sig"), "node").repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "at")
-        least = least_matches(self.threshold, self.miss)
+        sides = self.own.select("node", "sig", "n_shingles").join(self.sets.select("node", "odd").dropDuplicates(["node"]), "node")
+        dealt = dealt.join(sides, "node").repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "at")
+        least, hundredths = least_matches(self.threshold, self.miss), round(self.threshold * 100)
 
         def compared(rows: list[tuple]) -> list[tuple[int, int, int]]:
             node, label = (np.array([r[k] for r in rows]) for k in (4, 5))
             sig = np.frombuffer(b"".join(r[6] for r in rows), np.uint8).reshape(len(rows), -1)
-            low = sum(r[3] == rows[0][1] for r in rows)
-            if rows[0][1] == rows[0][2]:
-                x = y = np.arange(len(rows))
-            else:
-                x, y = np.arange(low), np.arange(low, len(rows))
+            n, odd = np.array([r[7] for r in rows]), [np.frombuffer(r[8], np.uint8) for r in rows]
+            side = np.zeros(len(rows), bool) if rows[0][1] == rows[0][2] else np.array([r[3] != rows[0][1] for r in rows])
+            # pairs inside the largest component are not looked at: one side is always outside it
+            names, counts = np.unique(label, return_counts=True)
+            inside = label == names[counts.argmax()]
+            x, y = np.flatnonzero(~inside), np.arange(len(rows))
+            one = not side.any()
             # the first batch of all, a strip of rows at a time; later ones of what is still likely
             found = []
             for i in range(0, len(x), 64):
                 part = x[i : i + 64]
                 m = (sig[part, None, :BATCH] == sig[None, y, :BATCH]).sum(axis=2, dtype=np.int64)
-                p, q = np.nonzero((m >= least[0]) & (label[part][:, None] != label[y][None, :]) & (node[part][:, None] < node[y][None, :] if x is y else True))
+                p, q = np.nonzero((m >= least[0]) & (label[part][:, None] != label[y][None, :]) & (one | (side[part][:, None] != side[y][None, :])) & (inside[y][None, :] | (part[:, None] < y[None, :])))
                 p, q, m = part[p], y[q], m[p, q]
                 for k, need in enumerate(least[1:], 1):
                     cut = slice(k * BATCH, (k + 1) * BATCH)
                     m = m + (sig[p, cut] == sig[q, cut]).sum(axis=1)
                     p, q, m = p[m >= need], q[m >= need], m[m >= need]
+                ok = near_enough(odd, n, p, q, hundredths)
+                p, q, m = p[ok], q[ok], m[ok]
                 found += zip(np.minimum(node[p], node[q]).tolist(), np.maximum(node[p], node[q]).tolist(), m.tolist(), strict=True)
             return found
 
@@ -266,7 +289,7 @@ class Finder:
                     held.append(row)
             yield from out(held)
 
-        return dealt.select("bucket", "low", "high", "at", "node", "label", "sig").mapInArrow(run, "a long, b long, matches long").distinct()
+        return dealt.select("bucket", "low", "high", "at", "node", "label", "sig", "n_shingles", "odd").mapInArrow(run, "a long, b long, matches long").distinct()
 
     # ---- verification ----
 
@@ -277,9 +300,7 @@ class Finder:
 
     def _verify(self, likely: DataFrame) -> None:
         likely = written(self._crossing(likely), "likely")
-        for _ in range(2):
-            if not likely.limit(1).count():
-                return
+        if likely.limit(1).count():
             ends = likely.select(F.col("a").alias("node"), F.col("b").alias("other"), "matches").unionByName(likely.select(F.col("b").alias("node"), F.col("a").alias("other"), "matches"))
             best = ends.groupBy("node").agg(F.max(F.struct("matches", F.col("other").alias("other"))).alias("x")).select(F.least("node", "x.other").alias("a"), F.greatest("node", "x.other").alias("b")).distinct()
             best = written(best, "best")
@@ -333,17 +354,17 @@ class Finder:
                     own = shingles(text, words, known)
                     digest = xxhash.xxh128_intdigest(own.tobytes())
                     if (_signed(digest >> 64), _signed(digest & (1 << 64) - 1)) == (d1, d2):  # else another row with this id
-                        out.append((node, own.tobytes()))
+                        out.append((node, own.tobytes(), parity(own).tobytes()))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["node", "hashes"])
+                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], ["node", "hashes", "odd"])
 
-        self.sets = written(texts.mapInArrow(sets, "node long, hashes binary"), "sets")
+        self.sets = written(texts.mapInArrow(sets, "node long, hashes binary, odd binary"), "sets")
 
     def _exact(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose full sets reach the threshold."""
         hundredths = round(self.threshold * 100)
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        full = self.sets.join(nodes, "node", "left_semi").dropDuplicates(["node"])
+        full = self.sets.select("node", "hashes").join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -138,3 +138,26 @@ def test_url_keys():
     assert warc.url_key(None) == "" and warc.url_key("http://[bad") == "http://[bad"
     with pytest.raises(ValueError):
         list(warc._starts(b"\x1f\x8b\x08"))
+
+
+def test_parity_sketches_drop_no_similar_pair():
+    import numpy as np
+
+    from cairnspark.llm.neardup import near_enough, parity
+
+    rng = np.random.default_rng(3)
+    sets = []
+    for n in (1, 2, 5, 40, 600, 5000):
+        base = rng.integers(0, 2**64, n, dtype=np.uint64)
+        sets.append(np.unique(base))
+        for part in (0.02, 0.08, 0.2, 0.6):
+            other = base.copy()
+            other[: int(n * part)] = rng.integers(0, 2**64, int(n * part), dtype=np.uint64)
+            sets.append(np.unique(other))
+    p, q = np.triu_indices(len(sets), 1)
+    ok = near_enough([parity(x) for x in sets], np.array([len(x) for x in sets]), p, q, 80)
+    for i, j, may in zip(p.tolist(), q.tolist(), ok.tolist(), strict=True):
+        both = len(np.intersect1d(sets[i], sets[j]))
+        if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+            assert may
+    assert ok.sum() < len(p) / 4
