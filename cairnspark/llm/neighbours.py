@@ -7,8 +7,9 @@ row to a leaf; leaves of more than ``SHARD`` rows are dealt on by a hash of the
 frequent vector fills no shard.  Each shard builds its own vantage-point tree over all its
 rows.  A query visits a branch beyond a vantage point's radius only if its distance to that
 sphere is at most ``factor`` times its distance to the k-th nearest so far; with factor 1
-that is the triangle inequality and the search exact, less is faster and may miss some.  The
-same rule, with the sample's k-th nearest as the bound, chooses the shards a query is sent
+that is the triangle inequality and the search exact, less is faster and may miss some: how
+many depends on the vectors, so the default is 1.  Distances are compared with room for their
+rounding.  The same rule, with the sample's k-th nearest as the bound, chooses the shards a query is sent
 to.  Queries are dealt in blocks of bounded size.
 
 Scores are sums in double precision in the order of the components, on the vectors as they
@@ -36,8 +37,10 @@ from cairnspark.llm.shared import small_batches, written
 SAMPLE, SHARD, BLOCK, LEAF = 8192, 4096, 8192, 128
 #: Components the sample may hold in all, for wide vectors.
 SAMPLE_COMPONENTS = 8 << 20
-#: The factor finds about 0.98 of the nearest in weakly structured vectors (see the README).
-K, FACTOR = 20, 0.2
+#: Exact; what less finds depends on the vectors (see the README).
+K, FACTOR = 20, 1.0
+#: Rounding of a distance, as a part of the largest that can be: squares are exact to some 1e-14 of it.
+ROUNDING = 2e-7
 
 
 def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -131,8 +134,9 @@ class Tree:
                     out[r].append(node.leaf)
                 return
             d = self.distance(node, q[rows], norms[rows]) - node.radius
-            walk(node.inside, rows[d <= factor * bound[rows]])
-            walk(node.outside, rows[d > -factor * bound[rows]])
+            reach = factor * bound[rows] + ROUNDING * (np.sqrt(norms[rows]) + self.top)
+            walk(node.inside, rows[d <= reach])
+            walk(node.outside, rows[d >= -reach])
 
         walk(self.root, np.arange(len(q)))
         return out
@@ -159,7 +163,7 @@ class Search:
         self._walk(node.inside, rows[within])
         self._walk(node.outside, rows[~within])
         # the far sides, with the bounds that the near sides have left
-        reach = np.abs(d) <= self.factor * self.bound[rows]
+        reach = np.abs(d) <= self.factor * self.bound[rows] + ROUNDING * (np.sqrt(self.norms[rows]) + self.tree.top)
         self._walk(node.outside, rows[within & reach])
         self._walk(node.inside, rows[~within & reach])
 

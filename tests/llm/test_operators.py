@@ -239,6 +239,26 @@ def test_recall(spark):
     assert hits / (20 * len(got)) >= 0.9
 
 
+def test_recall_on_structured_vectors(spark):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    few = r.normal(size=(3000, 8)) @ r.normal(size=(8, 64))
+    norms = r.normal(size=(3000, 64))
+    norms *= (r.lognormal(sigma=0.3, size=3000) / np.linalg.norm(norms, axis=1))[:, None]
+    for v in (few / np.linalg.norm(few, axis=1)[:, None], norms):
+        got = defaultdict(set)
+        for x in neighbours.nearest(spark.createDataFrame([(i, v[i].tolist()) for i in range(len(v))], "vec_id long, embedding array<double>"), shard=512, sample=512).collect():
+            got[x.query_id].add(x.vec_id)
+        hits = 0
+        for k in range(0, len(v), 20):
+            s = v @ v[k]
+            s[k] = -np.inf
+            hits += len(got[k] & set(np.argsort(-s, kind="stable")[:20].tolist()))
+        print("recall", hits / 3000)
+        assert hits / 3000 >= 0.999
+
+
 def test_toxicity(spark):
     r = random.Random(9)
     rows, labels = [], []
