@@ -2,16 +2,21 @@
 
 Protected entities are e-mail addresses, IP addresses, card and phone numbers, found by
 fixed patterns in whole texts.  How strongly a term reveals an entity is estimated from the
-corpus: of all texts that hold the term, the share in which it stands within ``NEAR`` words
-of the entity.  With I(e) = -log2 p(e) and the pointwise information I(t;e) =
-log2 p(t,e) / (p(t) p(e)), a term discloses the part I(t;e) / I(e) of the entity.  Terms of
-support ``SUPPORT`` or more that disclose more than ``DISCLOSE`` are removed where they
-stand near the entity; those above ``GENERALISE`` are generalised to a word class.
+corpus: of all texts that hold the term, the share that hold the entity, wherever in the text.
+Counts of pairs are smoothed by absolute discounting (``DISCOUNT`` off each count goes to the
+entity's share of all texts), so entities and terms that stand in a single text are rated too,
+the more strictly the larger the corpus.  With I(e) = -log2 p(e) and the pointwise information
+I(t;e) = log2 p(e|t) / p(e), a term discloses the part I(t;e) / I(e) of the entity.  Terms that
+disclose ``DISCLOSE`` of any entity are removed wherever they stand, in texts without the entity
+too; those from ``GENERALISE`` on are generalised to a word class.
 
 Text counts of terms are taken over all documents, summed in each task before the shuffle;
-what is shuffled are hashes of terms.  Contexts are a bounded number of words per entity
-occurrence, and pairs (entity, term) are counted before they are joined, so a frequent
-entity or term is one row.
+what is shuffled are hashes of terms.  Entities that stand in the same texts are rated as one, and
+pairs (entity, term) are counted before they are joined, so a frequent entity or term is one row.
+Texts are searched for disclosing terms with a bitmap of their hashes of ``BITS`` bits at most;
+what passes it is joined with the terms themselves, so the bitmap decides nothing.  Rows are
+numbered in two scans of what ``found`` gets, which must be a stored table or else come in the
+same order each time; ``sanitised`` stores its rows first.
 
 Defined cases: null or empty text holds nothing; repeated rows are texts each; overlapping
 kinds are each reported; a null doc_id is kept; extra columns are kept by ``sanitised`` and
@@ -22,9 +27,12 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
@@ -33,7 +41,8 @@ from pyspark.sql import functions as F
 
 from cairnspark.llm.shared import small_batches, written
 
-NEAR, SUPPORT, DISCLOSE, GENERALISE = 6, 3, 0.9, 0.7
+DISCOUNT, DISCLOSE, GENERALISE = 0.75, 0.9, 0.7
+BITS = 1 << 22
 # The kinds' patterns, in the order in which spans are listed.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -51,6 +60,7 @@ _FAST = {
 }
 _LONG_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9]){13,}")
 _TERM = re.compile(r"[^\W\d_]{3,}")
+_TERM_LETTER = re.compile(r"[^\W\d_]")
 
 
 def _luhn(digits: str) -> bool:
@@ -108,43 +118,61 @@ def term_hash(term: str) -> int:
     return xxhash.xxh64_intdigest(term.lower()) - (1 << 63)
 
 
-def _contexts(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, list[tuple[int, int, int]]]]:
-    """For each span: its entity's hash, and (hash, start, end) of the terms near it."""
-    out = []
-    for kind, a, b in spans:
-        entity = xxhash.xxh64_intdigest(f"{kind}:{text[a:b].lower()}") - (1 << 63)
-        room = 24 * NEAR
-        left = [m for m in _TERM.finditer(text, max(0, a - room), a) if m.start() > a - room or a <= room][-NEAR:]
-        right = []
-        for m in _TERM.finditer(text, b):
-            if len(right) == NEAR or m.start() > b + room:
-                break
-            right.append(m)
-        # another entity's own letters are not terms
-        near = [(term_hash(m[0]), *m.span()) for m in (*left, *right) if not any(x < m.end() and m.start() < y for _, x, y in spans)]
-        out.append((entity, near))
-    return out
+def terms(text: str) -> set[str]:
+    return {t.lower() for t in set(_TERM.findall(text))}
+
+
+class _Hashes:
+    """Hashes of terms, with those of frequent terms at hand."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, int] = {}
+
+    def __call__(self, term: str) -> int:
+        if (h := self.known.get(term)) is None:
+            if len(self.known) > 300_000:
+                self.known.clear()
+            h = self.known[term] = term_hash(term)
+        return h
 
 
-_FOUND = "row long, doc_id long, base array<struct<kind:string,start:int,end:int>>, near array<struct<entity:long,term:long,start:int,end:int>>"
+def _outside(text: str, spans: list[tuple[str, int, int]]) -> str:
+    """The text with blanks for the entities' letters and for words they cut: those are not terms."""
+    out, at = [], 0
+    for a, b in sorted((a, b) for _, a, b in spans):
+        while a > at and _TERM_LETTER.match(text, a - 1):
+            a -= 1
+        while b < len(text) and _TERM_LETTER.match(text, b):
+            b += 1
+        out += [text[at : max(a, at)], " "]
+        at = max(at, b)
+    return "".join([*out, text[at:]])
+
+
+_FOUND = "row long, doc_id long, base array<struct<kind:string,start:int,end:int>>, entities array<long>, terms array<long>"
 
 
 def _scan(docs: DataFrame, row: F.Column | None) -> DataFrame:
-    """row, doc_id, base spans, and the terms near each; one row per text."""
+    """row, doc_id, base spans, the distinct entities and the distinct terms beside them; one row per text."""
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-    near_kind = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
         for batch in batches:
-            base, near = [], []
+            base, entities, beside = [], [], []
             for text in batch.column(2).to_pylist():
                 spans = base_spans(text) if text else []
                 base.append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
-                near.append([{"entity": e, "term": t, "start": a, "end": b} for e, own in (_contexts(text, spans) if spans else []) for t, a, b in own])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base, kind), pa.array(near, near_kind)], ["row", "doc_id", "base", "near"])
+                entities.append(list({xxhash.xxh64_intdigest(f"{k}:{text[a:b].lower()}") - (1 << 63) for k, a, b in spans}))
+                beside.append([hashes(t) for t in terms(_outside(text, spans))] if spans else [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base, kind), pa.array(entities, pa.list_(pa.int64())), pa.array(beside, pa.list_(pa.int64()))], ["row", "doc_id", "base", "entities", "terms"])
+
+    return _numbered(docs, row, "doc_id").mapInArrow(run, _FOUND)
 
+
+def _numbered(docs: DataFrame, row: F.Column | None, *others: str) -> DataFrame:
     row = F.monotonically_increasing_id() if row is None else row
-    return docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _FOUND)
+    return docs.select(row.alias("row"), *(F.col(c).cast("long").alias(c) for c in others), F.col("text").cast("string").alias("text"))
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
@@ -152,19 +180,14 @@ def term_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
-        known: dict[str, int] = {}
+        hashes = _Hashes()
 
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.int64())], ["term", "n"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                for t in set(_TERM.findall(text.lower())) if text else ():
-                    if (h := known.get(t)) is None:
-                        if len(known) > 300_000:
-                            known.clear()
-                        h = known[t] = term_hash(t)
-                    held[h] += 1
+                held.update(map(hashes, terms(text)) if text else ())
             if len(held) > 600_000:
                 yield out()
                 held.clear()
@@ -173,40 +196,79 @@ def term_counts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("texts"))
 
 
-def disclosing(scan: DataFrame, docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, disclose: float = DISCLOSE) -> DataFrame:
-    """entity, term, kind (term: to remove, wide: to generalise), from corpus co-occurrence."""
-    texts = scan.agg(F.count("*").alias("n"), F.sum((F.size("base") > 0).cast("long")).alias("held")).first()
-    pairs = scan.filter(F.size("near") > 0).select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("p")).select("p.*")
-    joint = pairs.groupBy("entity", "term").agg(F.count("*").alias("both")).filter(F.col("both") >= support)
-    entities = scan.filter(F.size("near") > 0).select(F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("entity_texts"))
-    joint = written(joint.join(entities, "entity"), "joint")
-    if not joint.limit(1).count():  # no pair has the support, so no term discloses anything
-        return joint.select("entity", "term", F.lit("term").alias("kind"))
-    n = float(max(texts["n"], 1))
+def disclosing(scan: DataFrame, docs: DataFrame, generalise: float = GENERALISE, disclose: float = DISCLOSE, discount: float = DISCOUNT) -> DataFrame:
+    """term, kind (term: to remove, wide: to generalise), from corpus co-occurrence."""
+    n = float(max(scan.count(), 1))
+    held = scan.filter(F.size("entities") > 0)
+    own = held.select("row", F.explode("entities").alias("entity"))
+    # entities of the same texts have the same pairs: one of them stands for all
+    entities = own.groupBy("entity").agg(F.count("*").alias("entity_texts"), F.bit_xor(F.xxhash64("row")).alias("where"))
+    one = entities.groupBy("entity_texts", "where").agg(F.min("entity").alias("entity")).select("entity", "entity_texts")
+    pairs = held.select("row", "terms").join(own.join(one, "entity"), "row").select("entity", "entity_texts", F.explode("terms").alias("term"))
+    joint = pairs.groupBy("entity", "entity_texts", "term").agg(F.count("*").alias("both"))
+    # a term's strictest rating needs each pair of counts once
+    joint = written(joint.select("term", "entity_texts", "both").distinct(), "joint")
     rated = joint.join(term_counts(docs), "term")
-    information = -F.log2(F.col("entity_texts") / n)
-    shared = F.log2(F.col("both") * n / (F.col("texts") * F.col("entity_texts")))
-    part = F.when(information > 0, shared / information).otherwise(0.0)
-    return rated.withColumn("part", part).filter(F.col("part") >= generalise).select("entity", "term", F.when(F.col("part") >= disclose, "term").otherwise("wide").alias("kind"))
+    p = F.col("entity_texts") / n
+    given = (F.col("both") - discount + discount * p) / F.col("texts")
+    part = F.when(p < 1, F.log2(given / p) / -F.log2(p)).otherwise(0.0)
+    return rated.groupBy("term").agg(F.max(part).alias("part")).filter(F.col("part") >= generalise).select("term", F.when(F.col("part") >= disclose, "term").otherwise("wide").alias("kind"))
+
+
+def _occurrences(docs: DataFrame, row: F.Column | None, told: DataFrame) -> DataFrame:
+    """row, term, at (starts and ends) of terms in all texts whose bits are those of terms in ``told``."""
+    size = min(BITS, 1 << max(10, (16 * told.count()).bit_length()))
+    slots = told.select(F.expr(f"shiftright(term & {size - 1}L, 6)").alias("slot"), F.expr("shiftleft(1L, cast(term & 63L as int))").alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits"))
+    packed = np.zeros(size >> 6, dtype=np.int64)
+    for r in slots.collect():  # BITS / 64 rows at most
+        packed[r.slot] = r.bits
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = packed.tolist()
+        known: dict[str, int | None] = {}
+
+        def told_hash(t: str) -> int | None:
+            if len(known) > 300_000:
+                known.clear()
+            h = term_hash(t)
+            known[t] = h if bits[(h & (size - 1)) >> 6] >> (h & 63) & 1 else None
+            return known[t]
+
+        for batch in batches:
+            rows = []
+            for n, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                hits = {t: h for t in (terms(text) if text else ()) if (h := known[t] if t in known else told_hash(t)) is not None}
+                if hits:
+                    at: dict[str, list] = {}
+                    for m in _TERM.finditer(text):
+                        if (t := m[0].lower()) in hits:
+                            at.setdefault(t, []).append({"start": m.start(), "end": m.end()})
+                    rows += [(n, hits[t], x) for t, x in at.items()]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), kind), strict=True)], ["row", "term", "at"])
+
+    return _numbered(docs, row).mapInArrow(run, "row long, term long, at array<struct<start:int,end:int>>")
 
 
 def _spans(docs: DataFrame, row: F.Column | None = None, **options) -> DataFrame:
     """row, doc_id, base, more: the base spans of every text and those the method adds."""
     small_batches(docs.sparkSession)
     scan = written(_scan(docs, row), "pii")
-    told = disclosing(scan, docs, **options)
-    near = scan.filter(F.size("near") > 0).select("row", F.explode("near").alias("x")).select("row", "x.*")
-    more = near.join(told, ["entity", "term"]).groupBy("row").agg(F.collect_set(F.struct("start", "end", "kind")).alias("more"))
+    told = written(disclosing(scan, docs, **options), "told")
+    more = _occurrences(docs, row, told).join(told, "term").groupBy("row").agg(F.collect_list(F.struct("kind", "at")).alias("more"))
     return scan.select("row", "doc_id", "base").join(more.withColumnRenamed("row", "more_row"), F.col("row") == F.col("more_row"), "left").drop("more_row")
 
 
 def _all(base: list[dict], more: list[dict] | None) -> list[tuple[str, int, int]]:
     order = {k: n for n, k in enumerate(KINDS)}
-    extra: dict[tuple[int, int], str] = {}
-    for x in more or []:  # near several entities: the stricter treatment
-        at = (x["start"], x["end"])
-        extra[at] = min(extra.get(at, x["kind"]), x["kind"])
-    spans = [(x["kind"], x["start"], x["end"]) for x in base] + [(k, *at) for at, k in extra.items()]
+    spans = sorted(((x["kind"], x["start"], x["end"]) for x in base), key=lambda x: x[1])
+    starts, ends = [a for _, a, _ in spans], list(accumulate((b for *_, b in spans), max))
+    for x in more or []:
+        for a, b in ((y["start"], y["end"]) for y in x["at"]):
+            before = bisect_left(starts, b)
+            if not before or ends[before - 1] <= a:  # an entity's own letters are not terms
+                spans.append((x["kind"], a, b))
     return sorted(spans, key=lambda x: (x[1], order[x[0]], x[2]))
 
 
@@ -242,12 +304,12 @@ def replaced(text: str, spans: list[tuple[str, int, int]]) -> str:
 def sanitised(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with personal data and what discloses it taken out of ``text``, and ``n_chars`` made anew."""
     kept = written(docs.withColumn("__row", F.monotonically_increasing_id()), "texts")
-    spans = _spans(kept, F.col("__row"), **options).filter(F.size("base") > 0).select(F.col("row").alias("__of"), F.col("base").alias("__base"), F.col("more").alias("__more"))
+    spans = _spans(kept, F.col("__row"), **options).filter((F.size("base") > 0) | F.col("more").isNotNull()).select(F.col("row").alias("__of"), F.col("base").alias("__base"), F.col("more").alias("__more"))
     marked = kept.join(spans, F.col("__row") == F.col("__of"), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t if not b else replaced(t, _all(b, m)) for t, b, m in zip(*(c.to_pylist() for c in batch.columns[-3:]), strict=True)]
+            texts = [replaced(t, _all(b or [], m)) if b or m else t for t, b, m in zip(*(c.to_pylist() for c in batch.columns[-3:]), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(texts, pa.string())], [*batch.schema.names[:-3], "text"])
 
     others = [c for c in docs.columns if c != "text"]

@@ -107,6 +107,18 @@ def test_disclosing_terms(spark):
     assert got[0] == "email:9:22,term:29:38" and not got[20]
 
 
+def test_terms_disclose_from_anywhere(spark):
+    far = " about the number of things" * 12
+    rows = [(i, f"write to boss@corp.org{far} Zyxograph") for i in range(6)] + [(6, "Zyxograph again"), (7, f"once sue@lone.org{far} Quuxifer")]
+    rows += [(i, f"write once again to{far}") for i in range(8, 2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.found(df).collect()}
+    assert got[0] == f"email:9:22,term:{len(rows[0][1]) - 9}:{len(rows[0][1])}" and got[6] == "term:0:9"
+    assert got[7].startswith("email:5:17,") and got[7].endswith(f":{len(rows[7][1]) - 8}:{len(rows[7][1])}") and not got[8]
+    texts = {r.doc_id: r.text for r in pii.sanitised(df).collect()}
+    assert texts[6] == "[REMOVED] again" and texts[0] == f"write to [EMAIL]{far} [REMOVED]" and "Quuxifer" not in texts[7] and texts[8] == rows[8][1]
+
+
 def test_fingerprints(docs):
     rows = sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
     want = Counter()
