@@ -3,13 +3,14 @@
 A page is read once with the standard library's event parser.  Block tags end a "line";
 a line holds its text and how many tags stood in it.  Markup that is never content by its
 own meaning (menus, forms, scripts, footers, adverts, comments and the like, by tag, role
-or class) is dropped with all it holds.  If the page marks its content (an article or main
-element), those lines are the candidates, else all lines.  Each line's text-to-tag ratio is
-smoothed with a Gaussian over its neighbours; on pages that mark nothing, lines whose
-smoothed ratio clusters above the threshold form the content regions (a one-dimensional
-two-means split, started at the standard deviation, decides the threshold), and a region
-grows over neighbouring lines without links, so short paragraphs and headings stay.  In
-marked content every line lies in the region.
+or class) is dropped with all it holds.  Each line's text-to-tag ratio is smoothed with a
+Gaussian over its neighbours, and lines whose smoothed ratio clusters above the threshold form
+the content regions (a one-dimensional two-means split, started at the standard deviation,
+decides the threshold).  Marked content (an article or main element) is evidence: with o the odds
+that text of the regions is marked, marked lines need 1 - o of the threshold and others max(o, 1)
+times it.  So an article that holds most of the page's regions is taken whole and little beside
+it, and one that holds a teaser doesn't hide the main text.  Regions grow over neighbouring
+lines, marked or not as they are, without links, so short paragraphs and headings stay.
 
 Defined cases: null, empty or text-free html gives the empty string; white space of any
 kind inside a block is one blank; unclosed tags end where their parent ends; nothing is
@@ -62,14 +63,14 @@ class Lines(HTMLParser):
         self.tags = 0
         self.open: list[tuple[str, bool, bool]] = []  # tag, chrome, content
         self.chrome = self.content = self.anchors = 0
-        self.linked = False
+        self.linked = 0  # characters
 
     def end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, self.tags, self.content > 0, self.linked))
+            self.lines.append((text, self.tags, self.content > 0, self.linked > 0))
         self.parts.clear()
-        self.tags, self.linked = 0, False
+        self.tags, self.linked = 0, 0
 
     def _is_chrome(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if tag in CHROME or tag == "header" and not self.content:
@@ -133,7 +134,8 @@ class Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.chrome:
             self.parts.append(data)
-            self.linked |= self.anchors > 0
+            if self.anchors > 0:
+                self.linked += len(" ".join(data.split()))
 
 
 def smoothed(ratios: list[float], sigma: float) -> list[float]:
@@ -170,18 +172,21 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     parser.close()
     parser.end_line()
     lines = parser.lines
-    if any(marked for _, _, marked, _ in lines):
-        return " ".join(text for text, _, marked, _ in lines if marked)
     if not lines:
         return ""
     ratios = smoothed([len(text) / max(tags, 1) for text, tags, *_ in lines], sigma)
     cut = threshold(ratios)
-    kept = [r > cut for r in ratios]
+    held = [0, 0]  # characters of the regions, unmarked and marked
+    for (text, _, marked, links), r in zip(lines, ratios, strict=True):
+        held[marked] += len(text) * (r > cut and not links)
+    odds = held[1] / held[0] if held[0] else math.inf if any(marked for _, _, marked, _ in lines) else 0.0
+    kept = [(odds >= 1 or r > cut * (1 - odds)) if marked else r > cut * max(odds, 1) for (_, _, marked, _), r in zip(lines, ratios, strict=True)]
     for order in (range(1, len(lines)), range(len(lines) - 2, -1, -1)):
         step = 1 if order.step < 0 else -1
         for i in order:
-            kept[i] |= kept[i + step] and not lines[i][3]
-    return " ".join(text for (text, *_), k in zip(lines, kept, strict=True) if k or not any(kept))
+            kept[i] |= kept[i + step] and not lines[i][3] and lines[i][2] == lines[i + step][2]
+    none = not any(kept)
+    return " ".join(text for (text, *_), k in zip(lines, kept, strict=True) if k or none)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", sigma: float = 1.0) -> DataFrame:

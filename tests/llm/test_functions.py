@@ -26,6 +26,15 @@ def test_main_text_without_marks():
     assert got.startswith("Title words") and got.endswith("short") and "l1" not in got
 
 
+def test_main_text_beside_marked_teasers():
+    body = "".join(f"<p>{'words and more words of content ' * 8}{i}</p>" for i in range(6))
+    cards = "".join(f"<article><h3><a>Teaser {i}</a></h3></article>" for i in range(3))
+    got = html.main_text(f"<body><div>{body}</div><div>{cards}</div></body>")
+    assert got.count("words and more") == 48 and "Teaser" not in got
+    whole = html.main_text(f"<body><p>Outside</p><article><h1>Title</h1>{body}<p>s</p><ul><li><a>link</a></ul></article><p>Outside</p></body>")
+    assert whole.startswith("Title words") and whole.endswith("s link") and "Outside" not in whole
+
+
 def test_long_html():
     assert len(html.main_text("<article>" + "<p>abc</p>" * 50_000 + "</article>")) == 200_000 - 1
 
