@@ -10,7 +10,8 @@ decides the threshold).  Marked content (an article or main element) is evidence
 that text of the regions is marked, marked lines need 1 - o of the threshold and others max(o, 1)
 times it.  So an article that holds most of the page's regions is taken whole and little beside
 it, and one that holds a teaser doesn't hide the main text.  Regions grow over neighbouring
-lines, marked or not as they are, without links, so short paragraphs and headings stay.
+lines, marked or not as they are, that are not mostly links, so short paragraphs and headings stay; lines that are mostly links don't
+begin or end one.
 
 Defined cases: null, empty or text-free html gives the empty string; white space of any
 kind inside a block is one blank; unclosed tags end where their parent ends; nothing is
@@ -54,7 +55,7 @@ _ENDS = {"li": {"li"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"t
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, in marked content, has links) lines of one page."""
+    """Collects (text, tags, in marked content, is mostly links) lines of one page."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -68,7 +69,7 @@ class Lines(HTMLParser):
     def end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, self.tags, self.content > 0, self.linked > 0))
+            self.lines.append((text, self.tags, self.content > 0, 2 * self.linked > len(text)))
         self.parts.clear()
         self.tags, self.linked = 0, 0
 
@@ -185,6 +186,13 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
         step = 1 if order.step < 0 else -1
         for i in order:
             kept[i] |= kept[i + step] and not lines[i][3] and lines[i][2] == lines[i + step][2]
+    # beside long paragraphs links get over the threshold too: they stay between kept lines
+    whole = [m and odds >= 1 for _, _, m, _ in lines]
+    for order in (range(len(lines)), range(len(lines) - 1, -1, -1)):
+        before = False
+        for i in order:
+            kept[i] &= before or whole[i] or not lines[i][3]
+            before = kept[i]
     none = not any(kept)
     return " ".join(text for (text, *_), k in zip(lines, kept, strict=True) if k or none)
 

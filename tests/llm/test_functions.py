@@ -35,6 +35,14 @@ def test_main_text_beside_marked_teasers():
     assert whole.startswith("Title words") and whole.endswith("s link") and "Outside" not in whole
 
 
+def test_regions_grow_over_linked_paragraphs():
+    sizes = [1200, 200, 200, 200, 200, 200, 200, 200, 200, 200]
+    own = [f"p{i} " + "x" * (n - 3) for i, n in enumerate(sizes)]
+    links = "".join(f"<div><a>l{i}</a> <a>m{i}</a></div>" for i in range(5))
+    body = "".join(f"<p>{t[:-10]}<a>{t[-10:]}</a></p>" if i == 3 else f"<p>{t}</p>" for i, t in enumerate(own))
+    assert html.main_text(f"<body>{links}<div>{body}</div>{links}</body>") == " ".join(own)
+
+
 def test_long_html():
     assert len(html.main_text("<article>" + "<p>abc</p>" * 50_000 + "</article>")) == 200_000 - 1
 
