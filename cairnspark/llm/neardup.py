@@ -386,20 +386,26 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     """row, doc_id, n_shingles, component_id, kept for every row; ``row`` tells rows apart (else they are numbered as scanned).
 
     component_id is the least doc_id that links reach.  A row is kept if it has that id."""
+    return _marked(docs, words, threshold, miss, row).drop("label")
+
+
+def _marked(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, miss: float = MISS, row: F.Column | None = None) -> DataFrame:
+    """``near_duplicates`` with the component's own label, its least node (null for rows without words)."""
     f = Finder(docs, words, threshold, miss, row)
     f.run()
     classes = written(_labelled(f.classes, f.labels, "node", "label"), "labelled")
     ids = classes.groupBy("label").agg(F.min("first").alias("component_id"))
-    told = classes.join(ids, "label").select("d1", "d2", "component_id")
+    told = classes.join(ids, "label").select("d1", "d2", "label", "component_id")
     rows = f.sketches.select("row", "doc_id", "n_shingles", "d1", "d2").join(told, ["d1", "d2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return rows.select("row", "doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return rows.select("row", "doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "label")
 
 
 def representatives(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one row of each component: the first with its least id; rows without words stay."""
     numbered = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    marks = near_duplicates(numbered, row=F.col("__row"), **options)
-    first = marks.filter("kept and n_shingles > 0").groupBy("component_id").agg(F.min("row").alias("__keep")).select("__keep")
+    marks = _marked(numbered, row=F.col("__row"), **options)
+    # by the label, as components of null ids or of one repeated id share their component_id
+    first = marks.filter("kept and n_shingles > 0").groupBy("label").agg(F.min("row").alias("__keep")).select("__keep")
     keep = first.unionByName(marks.filter("n_shingles = 0").select(F.col("row").alias("__keep")))
     return numbered.join(keep, F.col("__row") == F.col("__keep"), "left_semi").select(*docs.columns)

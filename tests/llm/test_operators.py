@@ -90,6 +90,12 @@ def test_representatives(docs):
     assert sum(r.text is None or not r.text.strip() for r in got.collect()) == 4
 
 
+def test_representatives_of_shared_ids(spark):
+    rows = [(None, "alpha beta gamma delta"), (None, "one two three four five"), (None, "one two three four five"), (7, "red green blue black"), (7, "north south east west"), (8, "north south east west")]
+    got = neardup.representatives(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()
+    assert Counter(map(tuple, got)) == Counter([rows[0], rows[1], rows[3], rows[4]])
+
+
 def test_pii(spark, docs):
     rows = {r.doc_id: r for r in pii.found(docs).collect()}
     own = rows[max(i for i in rows if i is not None)]
