@@ -15,7 +15,8 @@ overshoot, those after it that still fit are taken, looking ``LOOK`` documents a
 
 No source is gathered: words are summed by (source, bin of ranks) before the shuffle, the
 bin in which a source's quota ends is split again until few documents lie in it, and only
-those and the next few are ranked one by one.
+those and the next few are ranked one by one.  Documents that tie, by one id and size, are
+counted, and as many of them are taken as the quota needs.
 
 Defined cases: null or blank text has size 0 and no words to take; a null source is a
 source; repeated rows are documents each, but share their random number; a null doc_id is
@@ -74,16 +75,34 @@ def _odds_rank(u: F.Column, p: F.Column) -> F.Column:
     return odds / (1 + odds)
 
 
-def _fill(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["rank", "doc_id", "size"], kind="stable", na_position="last")
-    left, chosen = rows["left"].iloc[0], []
-    for size in rows["size"]:
-        chosen.append(bool(size <= left + 1e-6))
-        left -= size * chosen[-1]
-    if left > 0 and not all(chosen):  # one document more, if that comes nearer
-        at = min((k for k, c in enumerate(chosen) if not c), key=lambda k: rows["size"].iloc[k])
-        chosen[at] = bool(rows["size"].iloc[at] - left < left)
-    return rows.assign(extra=chosen)[["row", "extra"]]
+def _fill(ties: pd.DataFrame) -> pd.DataFrame:
+    """How many of each tie's documents are taken."""
+    ties = ties.sort_values("nth")
+    left, taken = ties["left"].iloc[0], []
+    for size, n in zip(ties["size"], ties["n"], strict=True):
+        taken.append(min(int(n), int((left + 1e-6) // size)) if left > 0 else 0)
+        left -= size * taken[-1]
+    rest = [k for k, n in enumerate(ties["n"]) if taken[k] < n]
+    if left > 0 and rest:  # one document more, if that comes nearer
+        at = min(rest, key=lambda k: ties["size"].iloc[k])
+        taken[at] += bool(ties["size"].iloc[at] - left < left)
+    return ties.assign(taken=taken)[["source", "rank", "id", "size", "n", "taken"]]
+
+
+def _first(near: DataFrame, ties: DataFrame) -> DataFrame:
+    """The rows of ``near`` that are taken: of each tie so many as it says, the first by row."""
+    key = ["source", "rank", "doc_id", "size"]
+    told = ties.select(*(F.col(c).alias(f"t_{c}") for c in key), "n", "taken")
+    same = [F.col(c).eqNullSafe(F.col(f"t_{c}")) for c in key]
+    hit = written(near.join(told, same[0] & same[1] & same[2] & same[3]).select("row", *key, "n", "taken").withColumn("part", F.shiftright("row", 33)), "near")
+    some = hit.filter("taken < n")
+    # numbered by parts, so that no task orders a whole tie
+    before = F.coalesce(F.sum("c").over(Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = some.groupBy(*key, "part").agg(F.count("*").alias("c")).withColumn("before", before).select(*(F.col(c).alias(f"p_{c}") for c in (*key, "part")), "before")
+    numbered = some.withColumn("own", F.row_number().over(Window.partitionBy(*key, "part").orderBy("row")))
+    of = [F.col(c).eqNullSafe(F.col(f"p_{c}")) for c in (*key, "part")]
+    numbered = numbered.join(parts, of[0] & of[1] & of[2] & of[3] & of[4]).filter("own + before <= taken")
+    return hit.filter("taken >= n").select("row").unionByName(numbered.select("row"))
 
 
 def mixed(docs: DataFrame, row: F.Column | None = None, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: int = 7, bins: int = BINS, look: int = LOOK) -> DataFrame:
@@ -123,8 +142,12 @@ def mixed(docs: DataFrame, row: F.Column | None = None, weights: tuple[float, ..
     at = ranked.join(cut.drop("quota", "high"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     sampled = F.col("rank").isNotNull() & F.col("low").isNotNull()
     near = at.filter(sampled & (F.col("rank") >= F.col("low")) & (F.col("size") > 0)).select("row", "doc_id", "source", "size", "rank", (F.col("quota") - F.col("below")).alias("left"))
-    near = near.withColumn("nth", F.row_number().over(Window.partitionBy("source").orderBy("rank", F.col("doc_id").asc_nulls_last(), "row"))).filter(F.col("nth") <= 2 * look).drop("nth")
-    extra = near.groupBy(F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).applyInPandas(_fill, "row long, extra boolean").filter("extra").select(F.col("row").alias("extra_row"))
+    # documents of one id and size share their rank: a tie counts as one in the look ahead
+    ties = near.groupBy("source", "rank", "doc_id", "size", "left").agg(F.count("*").alias("n"))
+    ties = ties.withColumn("nth", F.row_number().over(Window.partitionBy("source").orderBy("rank", F.col("doc_id").asc_nulls_last(), "size"))).filter(F.col("nth") <= 2 * look)
+    filled = ties.withColumn("id", F.col("doc_id").cast("string")).drop("doc_id").groupBy(F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).applyInPandas(_fill, "source string, rank double, id string, size long, n long, taken long")
+    filled = written(filled.filter("taken > 0").withColumn("doc_id", F.col("id").cast("long")), "filled")
+    extra = _first(near, filled).select(F.col("row").alias("extra_row"))
     done = at.join(extra, F.col("row") == F.col("extra_row"), "left")
     taken = F.when(sampled & ((F.col("rank") < F.col("low")) | F.col("extra_row").isNotNull()), 1).otherwise(0)
     return done.select("row", "doc_id", "source", "size", "source_size", "target", (F.coalesce("certain", F.lit(0)) + taken).cast("long").alias("copies"))

@@ -172,6 +172,15 @@ def test_mixing_is_near(spark):
         assert abs(x.taken - x.target) <= 0.01 * x.target + 5
 
 
+def test_mixing_takes_large_ties(spark):
+    rows = [(None, "one two three", "a")] * 6000 + [(7, "one two three four", "b")] * 3000 + [(i, "w " * (1 + i % 9), "c") for i in range(3000)]
+    got = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).cache()).collect()
+    assert len(got) == len(rows)
+    for s in "abc":
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r.copies * r.size for r in own) - own[0].target) <= 4
+
+
 def test_packing(spark, docs):
     import public_tokenizers
 
