@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairnspark.llm.shared import small_batches
+from cairnspark.llm.shared import slices
 
 LEVELS, LEAST, KEPT = 4, 16, 48
 #: Characters parsed at a time.
@@ -185,13 +185,12 @@ def with_next(docs: DataFrame) -> DataFrame:
 
 
 def fingerprinted(docs: DataFrame) -> DataFrame:
-    small_batches(docs.sparkSession)
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # the last row, whose next isn't known yet
-        for batch in batches:
+        for batch in slices(batches):
             rows = held + list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
             held = rows[-1:]
             own = [t for _, t, *_ in rows]

@@ -37,13 +37,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairnspark.llm.shared import small_batches, written
+from cairnspark.llm.shared import ROW, drop, numbered, slices, written
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, WIDTH = 48, 7
 BATCH, MISS = 48, 1e-5
-BLOCK = 512
+BLOCK = 256
 REMEMBERED = 300_000
+#: What tells a row of the table apart.
+AT = "struct<file:long,place:long>"
 
 _U = np.uint64
 
@@ -137,16 +139,14 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def sketches(docs: DataFrame, words: int, row: F.Column | None = None) -> DataFrame:
-    """row, doc_id, n_shingles, d1, d2 (the set's digest), bands, sig; a table."""
-    row = F.monotonically_increasing_id() if row is None else row
-    rows = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def sketches(rows: DataFrame, words: int) -> DataFrame:
+    """row (a number), at, doc_id, n_shingles, d1, d2 (the set's digest), bands, sig of rows (at, doc_id, text); a table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, (a, b) = _Hashes(), _permutations(BANDS * WIDTH)
         factors = _mix(np.arange(1, WIDTH + 1, dtype=_U) * _U(0xA0761D6478BD642F)) | _U(1)
         number = _mix(np.arange(1, BANDS + 1, dtype=_U))
-        for batch in batches:
+        for batch in slices(batches):
             n, d1, d2, bands, sigs = [], [], [], [], []
             for text in batch.column(2).to_pylist():
                 own = shingles(text, words, known)
@@ -162,25 +162,29 @@ def sketches(docs: DataFrame, words: int, row: F.Column | None = None) -> DataFr
                 bands.append(_mix((sig.reshape(BANDS, WIDTH).astype(_U) * factors).sum(axis=1) + number).view(np.int64))
                 sigs.append(_mix(sig.astype(_U)).astype(np.uint8).tobytes())
             cols = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "n_shingles", "d1", "d2", "bands", "sig"])
+            yield pa.RecordBatch.from_arrays(cols, ["at", "doc_id", "n_shingles", "d1", "d2", "bands", "sig"])
 
-    return written(rows.mapInArrow(run, "row long, doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, sig binary"), "sketches")
+    made = rows.mapInArrow(run, f"at {AT}, doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, sig binary")
+    return written(made.select(F.monotonically_increasing_id().alias("row"), "*"), "sketches")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, label (the least node of its component) of all nodes in links (a, b)."""
+    """node, label (the least node of its component) of all nodes in links (a, b); a table."""
     both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
     while True:
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("m"))
+        # a table of its own: the sum over a hub's links has a row from every task, the join one a node
+        near = written(both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("m")), "near")
         hop = labels.join(near, labels.node == near.a, "left").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
         for k in range(2):
             told = labels.select(F.col("node").alias(f"at{k}"), F.col("label").alias(f"far{k}"))
             hop = hop.join(told, F.col("label") == F.col(f"at{k}"), "left").select("node", "old", F.least("label", f"far{k}").alias("label"))
         new = written(hop, "labels")
+        drop(near, labels)
         if not new.filter("old <> label").limit(1).count():
-            return new.select("node", "label")
-        labels = new.select("node", "label")
+            drop(both)
+            return new
+        labels = new
 
 
 def _labelled(rows: DataFrame, labels: DataFrame | None, column: str, name: str) -> DataFrame:
@@ -192,28 +196,36 @@ def _labelled(rows: DataFrame, labels: DataFrame | None, column: str, name: str)
 
 
 class Finder:
-    """Finds the links of one table of sketches."""
-
-    def __init__(self, docs: DataFrame, words: int, threshold: float, miss: float, row: F.Column | None):
-        self.docs, self.words, self.threshold, self.miss = docs, words, threshold, miss
-        small_batches(docs.sparkSession)
-        self.sketches = sketches(docs, words, row)
+    """Finds the links of one table.  ``close`` drops its tables."""
+
+    def __init__(self, docs: DataFrame, words: int, threshold: float, miss: float):
+        self.words, self.threshold, self.miss = words, threshold, miss
+        narrow = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
+        self.rows = docs.select(*narrow, ROW) if ROW in docs.columns else numbered(docs.select(*narrow))
+        self.docs = self.rows.select(F.col(ROW).alias("at"), "doc_id", "text")
+        self.sketches = sketches(self.docs, words)
         full = self.sketches.filter("n_shingles > 0")
         # a class is named by its least row
-        self.classes = written(full.groupBy("d1", "d2").agg(F.min("row").alias("node"), F.min("doc_id").alias("first")), "classes")
+        least = F.min(F.struct("row", "at")).alias("least")
+        self.classes = written(full.groupBy("d1", "d2").agg(least, F.min("doc_id").alias("first")).select("d1", "d2", F.col("least.row").alias("node"), F.col("least.at").alias("at"), "first"), "classes")
         self.own = written(full.join(self.classes.select("node"), F.col("row") == F.col("node"), "left_semi").select(F.col("row").alias("node"), "n_shingles", "bands", "sig"), "signatures")
         self.sets: DataFrame | None = None
-        self.links: DataFrame | None = None
+        self.links: list[DataFrame] = []
         self.labels: DataFrame | None = None
 
+    def close(self) -> None:
+        drop(self.rows, self.sketches, self.classes, self.own, self.sets, self.labels, *self.links)
+
     # ---- candidates ----
 
     def buckets(self) -> DataFrame:
         """bucket, n, node: buckets of two classes or more, one of those with equal members."""
         rows = self.own.select("node", F.explode("bands").alias("bucket"))
         sums = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).filter("n > 1")
-        kept = sums.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
-        return written(rows.join(written(kept, "kept"), "bucket"), "buckets")
+        kept = written(sums.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "n"), "kept")
+        out = written(rows.join(kept, "bucket"), "buckets")
+        drop(kept)
+        return out
 
     def _hub_pairs(self, rows: DataFrame, hubs: DataFrame) -> DataFrame:
         pairs = rows.select("bucket", "node").join(hubs, "bucket").filter("node <> hub")
@@ -226,17 +238,22 @@ class Finder:
         met = rows.select("bucket", "node").join(meets, "node")
         hubs = written(met.groupBy("bucket").agg(F.max_by("node", F.struct("met", F.xxhash64("node"))).alias("hub")), "hubs")
         # at most one pair a member, so all are verified at once
-        self._add(self._exact(written(self._likely(self._hub_pairs(rows, hubs)), "likely").select("a", "b")))
-        rows = self._left(rows, hubs)
-        if rows.limit(1).count():
-            self._verify(self._blocks(rows))
+        likely = written(self._likely(self._hub_pairs(rows, hubs)), "likely")
+        self._add(self._exact(likely.select("a", "b")))
+        left = self._left(rows, hubs)
+        drop(rows, hubs, likely)
+        if left.limit(1).count():
+            self._verify(self._blocks(left))
+        drop(left)
 
     def _left(self, rows: DataFrame, hubs: DataFrame) -> DataFrame:
         """bucket, n, node, label: members that were no hubs, of buckets in which they are of several components."""
         rest = rows.select("bucket", "node").join(hubs, "bucket").filter("node <> hub").drop("hub")
         rest = written(_labelled(rest, self.labels, "node", "label"), "left")
         open_ = rest.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).filter("low < high")
-        return written(rest.join(open_.select("bucket", "n"), "bucket"), "open")
+        out = written(rest.join(open_.select("bucket", "n"), "bucket"), "open")
+        drop(rest)
+        return out
 
     def _blocks(self, rows: DataFrame) -> DataFrame:
         """a, b, matches: likely pairs across components, from comparing a bucket's members block by block."""
@@ -244,7 +261,7 @@ class Finder:
         at = F.pmod(F.xxhash64("node", F.lit(3)), blocks).cast("int")
         dealt = rows.select("bucket", "node", "label", at.alias("at"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
         dealt = dealt.select("bucket", F.least("at", "other").alias("low"), F.greatest("at", "other").alias("high"), "at", "node", "label")
-        sides = self.own.select("node", "sig", "n_shingles").join(self.sets.select("node", "odd").dropDuplicates(["node"]), "node")
+        sides = self.own.select("node", "sig", "n_shingles").join(self.sets.select("node", "odd"), "node")
         dealt = dealt.join(sides, "node").repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "at")
         least, hundredths = least_matches(self.threshold, self.miss), round(self.threshold * 100)
 
@@ -281,7 +298,7 @@ class Finder:
                 if rows and (found := compared(rows)):
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b", "matches"])
 
-            for batch in batches:
+            for batch in slices(batches):
                 for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     if held and held[0][:3] != row[:3]:
                         yield from out(held)
@@ -305,16 +322,23 @@ class Finder:
             best = ends.groupBy("node").agg(F.max(F.struct("matches", F.col("other").alias("other"))).alias("x")).select(F.least("node", "x.other").alias("a"), F.greatest("node", "x.other").alias("b")).distinct()
             best = written(best, "best")
             self._add(self._exact(best))
-            likely = written(self._crossing(likely.join(best, ["a", "b"], "left_anti")), "likely")
+            rest = written(self._crossing(likely.join(best, ["a", "b"], "left_anti")), "likely")
+            drop(likely, best)
+            likely = rest
         if likely.limit(1).count():
             self._add(self._exact(likely.select("a", "b")))
+        drop(likely)
 
     def _add(self, links: DataFrame) -> None:
         links = written(links, "links")
         if not links.limit(1).count():
-            return
-        self.links = links if self.links is None else self.links.unionByName(links)
-        self.labels = components(self.links)
+            return drop(links)
+        self.links.append(links)
+        whole = self.links[0]
+        for more in self.links[1:]:
+            whole = whole.unionByName(more)
+        old, self.labels = self.labels, components(whole)
+        drop(old)
 
     def _likely(self, pairs: DataFrame) -> DataFrame:
         """a, b, matches of the pairs that no batch of their signatures rules out."""
@@ -326,7 +350,7 @@ class Finder:
         pairs = pairs.filter(F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9).select("a", "b", "sa", "sb")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 if not batch.num_rows:
                     continue
                 x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in batch.columns[2:])
@@ -341,22 +365,16 @@ class Finder:
         return pairs.mapInArrow(run, "a long, b long, matches long")
 
     def _take_sets(self, nodes: DataFrame) -> None:
-        """The full sets of the classes that meet any other: texts move once."""
+        """The full sets of the classes that meet any other: their texts move once, by their row."""
         words = self.words
-        asked = self.classes.join(nodes, "node").select("node", "d1", "d2", F.col("first").alias("__id"))
-        texts = self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(asked, F.col("doc_id").eqNullSafe(F.col("__id"))).select("node", "d1", "d2", "text")
+        asked = self.classes.join(nodes, "node").select("node", F.col("at").alias("asked"))
+        texts = self.docs.join(asked, F.col("at") == F.col("asked")).select("node", "text")
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = _Hashes()
-            for batch in batches:
-                out = []
-                for node, d1, d2, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    own = shingles(text, words, known)
-                    digest = xxhash.xxh128_intdigest(own.tobytes())
-                    if (_signed(digest >> 64), _signed(digest & (1 << 64) - 1)) == (d1, d2):  # else another row with this id
-                        out.append((node, own.tobytes(), parity(own).tobytes()))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], ["node", "hashes", "odd"])
+            for batch in slices(batches):
+                own = [shingles(text, words, known) for text in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in own], pa.binary()), pa.array([parity(x).tobytes() for x in own], pa.binary())], ["node", "hashes", "odd"])
 
         self.sets = written(texts.mapInArrow(sets, "node long, hashes binary, odd binary"), "sets")
 
@@ -364,10 +382,10 @@ class Finder:
         """The pairs (a, b) whose full sets reach the threshold."""
         hundredths = round(self.threshold * 100)
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        full = self.sets.select("node", "hashes").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+        full = self.sets.select("node", "hashes").join(nodes, "node", "left_semi")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 out = []
                 for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     x, y = np.frombuffer(x, _U), np.frombuffer(y, _U)
@@ -382,30 +400,37 @@ class Finder:
         return pairs.select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, miss: float = MISS, row: F.Column | None = None) -> DataFrame:
-    """row, doc_id, n_shingles, component_id, kept for every row; ``row`` tells rows apart (else they are numbered as scanned).
+def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, miss: float = MISS) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row.
 
     component_id is the least doc_id that links reach.  A row is kept if it has that id."""
-    return _marked(docs, words, threshold, miss, row).drop("label")
+    return _marked(docs, words, threshold, miss).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-def _marked(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, miss: float = MISS, row: F.Column | None = None) -> DataFrame:
-    """``near_duplicates`` with the component's own label, its least node (null for rows without words)."""
-    f = Finder(docs, words, threshold, miss, row)
+def _marked(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, miss: float = MISS) -> DataFrame:
+    """``near_duplicates`` with at (the row) and label, the component's least node (null for rows without words); a table."""
+    f = Finder(docs, words, threshold, miss)
     f.run()
-    classes = written(_labelled(f.classes, f.labels, "node", "label"), "labelled")
+    classes = written(_labelled(f.classes, f.labels, "node", "label").select("d1", "d2", "first", "label"), "labelled")
     ids = classes.groupBy("label").agg(F.min("first").alias("component_id"))
     told = classes.join(ids, "label").select("d1", "d2", "label", "component_id")
-    rows = f.sketches.select("row", "doc_id", "n_shingles", "d1", "d2").join(told, ["d1", "d2"], "left")
+    rows = f.sketches.select("at", "doc_id", "n_shingles", "d1", "d2").join(told, ["d1", "d2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return rows.select("row", "doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "label")
+    out = written(rows.select("at", "doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "label"), "marked")
+    drop(classes)
+    f.close()
+    return out
 
 
 def representatives(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one row of each component: the first with its least id; rows without words stay."""
-    numbered = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    marks = _marked(numbered, row=F.col("__row"), **options)
+    rows = numbered(docs)
+    names = rows.columns
+    # the operator sees the rows' own numbers, so it stores no texts
+    marks = _marked(rows, **options)
     # by the label, as components of null ids or of one repeated id share their component_id
-    first = marks.filter("kept and n_shingles > 0").groupBy("label").agg(F.min("row").alias("__keep")).select("__keep")
-    keep = first.unionByName(marks.filter("n_shingles = 0").select(F.col("row").alias("__keep")))
-    return numbered.join(keep, F.col("__row") == F.col("__keep"), "left_semi").select(*docs.columns)
+    first = marks.filter("kept and n_shingles > 0").groupBy("label").agg(F.min("at").alias("first"))
+    gone = marks.filter("n_shingles > 0").join(first, "label").filter("at <> first").select(F.col("at").alias("__gone"))
+    gone = written(gone, "gone")
+    drop(marks)
+    return rows.join(gone, F.col(ROW) == F.col("__gone"), "left_anti").select(*(F.col(f"`{c}`") for c in names if c != ROW))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairnspark.llm.shared import small_batches, written
+from cairnspark.llm.shared import slices, written
 
 SAMPLE, SHARD, BLOCK, LEAF = 8192, 4096, 8192, 128
 #: Components the sample may hold in all, for wide vectors.
@@ -204,7 +204,6 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def nearest(rows: DataFrame, every: int = 20, k: int = K, factor: float = FACTOR, shard: int = SHARD, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score.  Queries are the rows whose id is divisible by ``every``."""
     spark = rows.sparkSession
-    small_batches(spark)
     good = _usable(rows)
     sizes = good.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c))).alias("top"), F.sum((F.col("vec_id") % every == 0).cast("long")).alias("q"))
     most = sizes.orderBy(F.col("n").desc(), "d").limit(1).collect()
@@ -223,7 +222,7 @@ def nearest(rows: DataFrame, every: int = 20, k: int = K, factor: float = FACTOR
     router = Tree(points, top, max(1, -(-len(points) // leaves)))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             if b.num_rows:
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(router.assign(_matrix(b.column(1))))], ["vec_id", "v", "leaf"])
 
@@ -235,7 +234,7 @@ def nearest(rows: DataFrame, every: int = 20, k: int = K, factor: float = FACTOR
     own = dealt.select(F.struct("leaf", F.pmod(F.xxhash64("vec_id"), several).alias("part")).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "vec_id", "v")
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             if not b.num_rows:
                 continue
             q, qid = _matrix(b.column(1)), b.column(0).to_numpy()

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnspark.llm.shared import small_batches
+from cairnspark.llm.shared import slices
 
 TIERS = (256, 512, 1024)
 #: Pieces that may wait at a time.
@@ -161,7 +161,6 @@ def pack(
 ) -> DataFrame:
     """One row per piece.  ``tokenizer`` is the path of a byte-level BPE file on every executor;
     ``block`` is how many windows are dealt to step groups at a time."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, packer = Ids(tokenizer), Packer(tiers)
@@ -192,7 +191,7 @@ def pack(
             cols = list(zip(*rows, strict=True)) if rows else [()] * len(names)
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for doc_id, own in zip(batch.column(0).to_pylist(), map(ids.of, texts), strict=True):
                 held[count] = [doc_id, own, len(own)]

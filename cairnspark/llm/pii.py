@@ -14,9 +14,8 @@ Text counts of terms are taken over all documents, summed in each task before th
 what is shuffled are hashes of terms.  Entities that stand in the same texts are rated as one, and
 pairs (entity, term) are counted before they are joined, so a frequent entity or term is one row.
 Texts are searched for disclosing terms with a bitmap of their hashes of ``BITS`` bits at most;
-what passes it is joined with the terms themselves, so the bitmap decides nothing.  Rows are
-numbered in two scans of what ``found`` gets, which must be a stored table or else come in the
-same order each time; ``sanitised`` stores its rows first.
+what passes it is joined with the terms themselves, so the bitmap decides nothing.  Rows of a
+Parquet table are known by file and place in each scan; other frames are stored first.
 
 Defined cases: null or empty text holds nothing; repeated rows are texts each; overlapping
 kinds are each reported; a null doc_id is kept; extra columns are kept by ``sanitised`` and
@@ -39,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnspark.llm.shared import small_batches, written
+from cairnspark.llm.shared import ROW, drop, numbered, slices, written
 
 DISCOUNT, DISCLOSE, GENERALISE = 0.75, 0.9, 0.7
 BITS = 1 << 22
@@ -149,16 +148,17 @@ def _outside(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-_FOUND = "row long, doc_id long, base array<struct<kind:string,start:int,end:int>>, entities array<long>, terms array<long>"
+_AT = "struct<file:long,place:long>"
+_FOUND = f"row {_AT}, doc_id long, base array<struct<kind:string,start:int,end:int>>, entities array<long>, terms array<long>"
 
 
-def _scan(docs: DataFrame, row: F.Column | None) -> DataFrame:
+def _scan(rows: DataFrame) -> DataFrame:
     """row, doc_id, base spans, the distinct entities and the distinct terms beside them; one row per text."""
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
-        for batch in batches:
+        for batch in slices(batches):
             base, entities, beside = [], [], []
             for text in batch.column(2).to_pylist():
                 spans = base_spans(text) if text else []
@@ -167,12 +167,7 @@ def _scan(docs: DataFrame, row: F.Column | None) -> DataFrame:
                 beside.append([hashes(t) for t in terms(_outside(text, spans))] if spans else [])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base, kind), pa.array(entities, pa.list_(pa.int64())), pa.array(beside, pa.list_(pa.int64()))], ["row", "doc_id", "base", "entities", "terms"])
 
-    return _numbered(docs, row, "doc_id").mapInArrow(run, _FOUND)
-
-
-def _numbered(docs: DataFrame, row: F.Column | None, *others: str) -> DataFrame:
-    row = F.monotonically_increasing_id() if row is None else row
-    return docs.select(row.alias("row"), *(F.col(c).cast("long").alias(c) for c in others), F.col("text").cast("string").alias("text"))
+    return rows.select(ROW, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _FOUND)
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
@@ -185,7 +180,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.int64())], ["term", "n"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 held.update(map(hashes, terms(text)) if text else ())
             if len(held) > 600_000:
@@ -215,7 +210,7 @@ def disclosing(scan: DataFrame, docs: DataFrame, generalise: float = GENERALISE,
     return rated.groupBy("term").agg(F.max(part).alias("part")).filter(F.col("part") >= generalise).select("term", F.when(F.col("part") >= disclose, "term").otherwise("wide").alias("kind"))
 
 
-def _occurrences(docs: DataFrame, row: F.Column | None, told: DataFrame) -> DataFrame:
+def _occurrences(rows: DataFrame, told: DataFrame) -> DataFrame:
     """row, term, at (starts and ends) of terms in all texts whose bits are those of terms in ``told``."""
     size = min(BITS, 1 << max(10, (16 * told.count()).bit_length()))
     slots = told.select(F.expr(f"shiftright(term & {size - 1}L, 6)").alias("slot"), F.expr("shiftleft(1L, cast(term & 63L as int))").alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits"))
@@ -223,6 +218,7 @@ def _occurrences(docs: DataFrame, row: F.Column | None, told: DataFrame) -> Data
     for r in slots.collect():  # BITS / 64 rows at most
         packed[r.slot] = r.bits
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    at_kind = pa.struct([("file", pa.int64()), ("place", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = packed.tolist()
@@ -235,7 +231,7 @@ def _occurrences(docs: DataFrame, row: F.Column | None, told: DataFrame) -> Data
             known[t] = h if bits[(h & (size - 1)) >> 6] >> (h & 63) & 1 else None
             return known[t]
 
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for n, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 hits = {t: h for t in (terms(text) if text else ()) if (h := known[t] if t in known else told_hash(t)) is not None}
@@ -246,18 +242,20 @@ def _occurrences(docs: DataFrame, row: F.Column | None, told: DataFrame) -> Data
                             at.setdefault(t, []).append({"start": m.start(), "end": m.end()})
                     rows += [(n, hits[t], x) for t, x in at.items()]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), kind), strict=True)], ["row", "term", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (at_kind, pa.int64(), kind), strict=True)], ["row", "term", "at"])
 
-    return _numbered(docs, row).mapInArrow(run, "row long, term long, at array<struct<start:int,end:int>>")
+    return rows.select(ROW, F.col("text").cast("string").alias("text")).mapInArrow(run, f"row {_AT}, term long, at array<struct<start:int,end:int>>")
 
 
-def _spans(docs: DataFrame, row: F.Column | None = None, **options) -> DataFrame:
-    """row, doc_id, base, more: the base spans of every text and those the method adds."""
-    small_batches(docs.sparkSession)
-    scan = written(_scan(docs, row), "pii")
-    told = written(disclosing(scan, docs, **options), "told")
-    more = _occurrences(docs, row, told).join(told, "term").groupBy("row").agg(F.collect_list(F.struct("kind", "at")).alias("more"))
-    return scan.select("row", "doc_id", "base").join(more.withColumnRenamed("row", "more_row"), F.col("row") == F.col("more_row"), "left").drop("more_row")
+def _spans(rows: DataFrame, **options) -> DataFrame:
+    """row, doc_id, base, more: the base spans of every text and those the method adds; a table."""
+    scan = written(_scan(rows), "pii")
+    told = written(disclosing(scan, rows, **options), "told")
+    more = _occurrences(rows, told).join(told, "term").groupBy("row").agg(F.collect_list(F.struct("kind", "at")).alias("more"))
+    out = scan.select("row", "doc_id", "base").join(more.withColumnRenamed("row", "more_row"), F.col("row") == F.col("more_row"), "left").drop("more_row")
+    out = written(out, "spans")
+    drop(scan, told)
+    return out
 
 
 def _all(base: list[dict], more: list[dict] | None) -> list[tuple[str, int, int]]:
@@ -278,7 +276,7 @@ def found(docs: DataFrame, **options) -> DataFrame:
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc_id, base, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 own = [(x["kind"], x["start"], x["end"]) for x in base]
@@ -287,7 +285,10 @@ def found(docs: DataFrame, **options) -> DataFrame:
             kinds = [pa.int64()] * 5 + [pa.string()] * 2
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return _spans(docs, **options).select("doc_id", "base", "more").mapInArrow(run, schema)
+    rows = numbered(docs)
+    spans = _spans(rows, **options)
+    drop(rows)
+    return spans.select("doc_id", "base", "more").mapInArrow(run, schema)
 
 
 def replaced(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -303,12 +304,12 @@ def replaced(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 def sanitised(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with personal data and what discloses it taken out of ``text``, and ``n_chars`` made anew."""
-    kept = written(docs.withColumn("__row", F.monotonically_increasing_id()), "texts")
-    spans = _spans(kept, F.col("__row"), **options).filter((F.size("base") > 0) | F.col("more").isNotNull()).select(F.col("row").alias("__of"), F.col("base").alias("__base"), F.col("more").alias("__more"))
-    marked = kept.join(spans, F.col("__row") == F.col("__of"), "left")
+    rows = numbered(docs)
+    spans = _spans(rows, **options).filter((F.size("base") > 0) | F.col("more").isNotNull()).select(F.col("row").alias("__of"), F.col("base").alias("__base"), F.col("more").alias("__more"))
+    marked = rows.join(spans, F.col(ROW) == F.col("__of"), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [replaced(t, _all(b or [], m)) if b or m else t for t, b, m in zip(*(c.to_pylist() for c in batch.columns[-3:]), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(texts, pa.string())], [*batch.schema.names[:-3], "text"])
 

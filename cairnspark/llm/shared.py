@@ -1,44 +1,98 @@
-"""What several operators here need: tables in the shared folder and table reading.
+"""What several operators here need: tables in the shared folder, row numbers and table reading.
 
 Intermediate results that are read more than once, or whose lineage is cut, are
 written as Parquet below ``spark.checkpoint.dir`` - the folder that every executor
-and the driver share.  A lost executor therefore costs only the tasks it ran.
+and the driver share.  A lost executor therefore costs only the tasks it ran.  An operator
+drops its tables as soon as nothing reads them any more; what its result reads stays until
+``clean`` or until the folder is emptied.
 """
 
 from __future__ import annotations
 
-import atexit
-import shutil
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Rows that one Arrow batch holds; texts can be long, so few rows a batch keep Python small.
-BATCH_ROWS = 512
+#: Rows that become Python objects at a time.  Spark bounds an Arrow batch itself at 64 MB.
+SLICE_ROWS, SLICE_BYTES = 512, 8 << 20
+#: The column that tells rows apart: a file and a row's place in it, or a number given once.
+ROW = "__cairn_row"
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder (a temporary one only where none is set, as in tests)."""
+def folder(spark: SparkSession) -> str:
+    """This application's own folder in the shared one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="cairnspark-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", f"file://{base}")
-        base = f"file://{base}"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors and the driver share")
+        base = f"file://{tempfile.mkdtemp(prefix='cairnspark-')}"
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/cairnspark-{spark.sparkContext.applicationId}"
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all tables that operators of this application have left; results not yet written are lost."""
+    delete(spark, folder(spark))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder, read again: its lineage ends here."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.__dict__["_stored"] = path
+    return out
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Deletes what ``written`` made; frames that are none of its are left alone."""
+    for t in tables:
+        if t is not None and (path := t.__dict__.pop("_stored", None)):
+            delete(t.sparkSession, path)
+
+
+def is_scan(df: DataFrame) -> bool:
+    """Whether ``df`` is no more than columns and filters of one Parquet table."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    names = [m[0] for line in plan.toString().splitlines() if (m := re.search(r"\w+", line))]
+    return bool(names) and set(names[:-1]) <= {"Project", "Filter"} and names[-1] == "Relation" and plan.toString().rstrip().endswith("parquet") and plan.deterministic() and "_metadata" not in df.columns
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a column that tells rows apart and is the same in each scan.
+
+    Rows of a Parquet table are known by their file (its path below the table's) and their
+    place in it, whatever the splits; of anything else a numbered copy is stored first
+    (``drop`` deletes it)."""
+    if is_scan(docs):
+        roots = docs._jdf.queryExecution().optimizedPlan().collectLeaves().head().relation().location().rootPaths()
+        path, root = F.col("_metadata.file_path"), roots.head().toString() if roots.size() == 1 else ""
+        below = F.when(path.startswith(root), F.substr(path, F.lit(len(root) + 1))).otherwise(path)
+        return docs.select("*", F.struct(F.xxhash64(below, F.lit(0)).alias("file"), F.col("_metadata.row_index").alias("place")).alias(ROW))
+    return written(docs.withColumn(ROW, F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("place"))), "rows")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bounds what a Python worker holds at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of bounded rows and, but for single rows, bytes."""
+    for batch in batches:
+        step = max(1, min(SLICE_ROWS, SLICE_BYTES * batch.num_rows // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

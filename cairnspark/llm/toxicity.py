@@ -5,8 +5,11 @@ training rows (words and word beginnings with high log odds), how often such wor
 near a second-person word, and rates of capitals, punctuation and obfuscated spellings.
 Neither id, source, language tag nor label enters a score.
 
-Learning: labelled rows whose crc32(doc_id as text) mod 5 is not 0, at most about
-``ROWS`` of them by a hash of the id (the documented bound; all rows are scored).  Term
+Learning: labelled rows whose crc32(doc_id as text) mod 5 is not 0, one text an id and at
+most ``ROWS`` of them by a hash of the id (the documented bound; all rows are scored).  The
+lexicon, learned from those rows only, holds terms of ``SUPPORT`` toxic texts or more, whole
+words and beginnings of ``PREFIXES`` letters, at most ``TERMS`` of them by their log odds; a
+weight is below ``UNIT``.  These bound the model, not the texts that are scored.  Term
 counts are summed by Spark.  Each training row's lexicon features come from the other
 folds' counts, as a row's own words would flatter it.  The trees are fitted on the driver;
 isotonic regression on out-of-fold margins turns margins into probabilities.
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnspark.llm.shared import small_batches, written
+from cairnspark.llm.shared import drop, slices, written
 
 ROWS = 12_000
 FOLDS = 3
@@ -256,15 +259,20 @@ def _lexicon(counts: dict[str, np.ndarray], rows: np.ndarray) -> dict[str, float
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = ROWS) -> Model:
     spark = docs.sparkSession
-    small_batches(spark)
     known = labels.filter("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     known = known.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
     total = known.count()
-    part = min(1.0, bound / max(total, 1))
-    known = known.filter(F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1_000_000)) < int(part * 1_000_000))
+    order = F.xxhash64(F.lit(17), "doc_id")
+    if total > bound:  # the ids with the smallest hashes: first about so many by a bound on the whole 64 bits, then exactly
+        share = min(1.0, (1.2 * bound + 1000) / total)
+        known = known.filter(order <= F.lit(int(-(1 << 63) + share * ((1 << 64) - 1024)))).orderBy(order, "doc_id").limit(bound)
     fold = F.pmod(F.xxhash64(F.lit(23), "doc_id"), F.lit(FOLDS)).cast("int")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(known, "doc_id")
-    rows = written(rows.select(fold.alias("fold"), (F.col("toxic") > 0).cast("int").alias("toxic"), "text"), "labelled")
+    # one text of each id, so that repeated rows don't raise the number of rows beyond the bound
+    text = F.col("text").cast("string")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(F.xxhash64(text).alias("hash"), text.alias("text")).alias("own"))
+    rows = texts.join(F.broadcast(known), "doc_id")  # ``bound`` rows at most
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min("own").alias("own"))
+    rows = written(rows.select(fold.alias("fold"), (F.col("toxic") > 0).cast("int").alias("toxic"), "own.text"), "labelled")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], Counter] = {}
@@ -275,7 +283,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = ROWS) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array([f] * len(c), pa.int32()), pa.array([y] * len(c), pa.int32()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], schema=schema)
             held.clear()
 
-        for batch in batches:
+        for batch in slices(batches):
             for f, y, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 held.setdefault((f, y), Counter()).update({t for w in {plain(w) for w in set((text or "").split())} for t in terms(w)})
             if sum(map(len, held.values())) > 400_000:
@@ -287,6 +295,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = ROWS) -> Model:
     for f, y, n in rows.groupBy("fold", "toxic").count().collect():
         sizes[f, y] = n
     if not sizes[:, 0].sum() or not sizes[:, 1].sum():
+        drop(rows)
         return Model({}, None, ([], []), float(sizes[:, 1].sum() / max(sizes.sum(), 1)))
     clean, toxic = (sum(F.col(f"n{f}{y}") for f in range(FOLDS)) for y in (0, 1))
     odds = F.log((toxic + 0.5) / (sizes[:, 1].sum() + 1)) - F.log((clean + 0.5) / (sizes[:, 0].sum() + 1))
@@ -298,11 +307,12 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = ROWS) -> Model:
 
     def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = [Words(x) for x in lexicons]
-        for batch in batches:
+        for batch in slices(batches):
             x = [features(t, own[f]).tolist() for f, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.list_(pa.float64()))], ["fold", "toxic", "x"])
 
-    got = rows.mapInArrow(dense, "fold int, toxic int, x array<double>").collect()
+    got = rows.mapInArrow(dense, "fold int, toxic int, x array<double>").collect()  # ``bound`` rows at most
+    drop(rows)
     got.sort(key=lambda r: (r.fold, r.toxic, r.x))  # the order of rows must not matter
     x, y, f = np.array([r.x for r in got]), np.array([r.toxic for r in got], dtype=float), np.array([r.fold for r in got])
     margins = np.zeros(len(y))
@@ -312,16 +322,15 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = ROWS) -> Model:
     return Model(whole, Boosted().fit(x, y), isotonic(margins, y), float(y.mean()))
 
 
-def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """``keep`` columns (the first is doc_id), score; every row of ``docs``."""
-    small_batches(docs.sparkSession)
+def score(docs: DataFrame, model: Model, keep: list[str], name: str = "score") -> DataFrame:
+    """``keep`` columns and the score, called ``name``; every row of ``docs``."""
     rows = docs.select(F.col("text").cast("string").alias("__text"), *keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words(model.lexicon)
-        for batch in batches:
+        for batch in slices(batches):
             x = np.array([features(t, known) for t in batch.column(0).to_pylist()]).reshape(-1, len(NAMES))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(model.scores(x), pa.float64())], [*batch.schema.names[1:], "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(model.scores(x), pa.float64())], [*batch.schema.names[1:], name])
 
-    schema = rows.drop("__text").schema.add("score", "double")
+    schema = rows.drop("__text").schema.add(name, "double")
     return rows.mapInArrow(run, schema)

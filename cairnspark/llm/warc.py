@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnspark.llm.shared import small_batches, written
+from cairnspark.llm.shared import slices, written
 
 LEAST = 1000
 SEGMENT_BYTES = 4 << 20
@@ -92,7 +92,6 @@ def _number(uri: str | None) -> int | None:
 
 def write(pages: DataFrame, least: int = LEAST, segment_bytes: int = SEGMENT_BYTES, level: int = 6) -> DataFrame:
     """The archives' segments, as a table in the shared folder."""
-    small_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.encode(F.col("html").cast("string"), "UTF-8"), F.lit(b"")).alias("payload"))
     rows = rows.withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload")})
     # one row per repeated payload, so only copies travel; sums are made before the shuffle
@@ -107,7 +106,7 @@ def write(pages: DataFrame, least: int = LEAST, segment_bytes: int = SEGMENT_BYT
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([archive], pa.int64()), pa.array([segment], pa.int32()), pa.array([b"".join(members)], pa.binary())], ["archive", "segment", "content"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for page_id, url, digest, payload, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 kind, kept = ("response", payload) if refers_to is None else ("revisit", b"")
                 member = gzip.compress(_record(kind, page_id, url, digest, kept, refers_to), level, mtime=0)
@@ -128,7 +127,7 @@ def files(segments: DataFrame, folder: str) -> None:
     def run(batches):
         import os
 
-        for batch in batches:
+        for batch in slices(batches):
             for archive, segment, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 path = f"{folder}/part-{archive:08d}-{segment:06d}.warc.gz"
                 with open(f"{path}.{os.getpid()}", "wb") as f:
@@ -161,7 +160,7 @@ def captures(segments: DataFrame) -> DataFrame:
     kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for archive, segment, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 rows = []
                 for start, length, record in _starts(content):
@@ -188,7 +187,7 @@ def index(found: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
             del held[:block_lines]
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in ((keys[0], pa.string()), (keys[-1], pa.string()), (len(keys), pa.int64()), (zlib.compress(lines), pa.binary()))], ["first_key", "last_key", "n", "block"])
 
-        for batch in batches:
+        for batch in slices(batches):
             held += zip(*(c.to_pylist() for c in batch.columns), strict=True)
             while len(held) >= block_lines:
                 yield out()
@@ -204,7 +203,7 @@ def opened(blocks: DataFrame) -> DataFrame:
     kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for block in batch.column(0).to_pylist():
                 rows = [json.loads(x) for x in zlib.decompress(block).split(b"\n")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
@@ -229,7 +228,7 @@ def ranges(found: DataFrame, segments: DataFrame) -> DataFrame:
     names = ["page_id", "url", "record_type", "payload_digest", "refers_to", "payload"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for content, wanted in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 content = memoryview(content.as_buffer())
                 for at in range(0, len(wanted), 256):
