@@ -14,7 +14,7 @@ from cairnspark.llm.shared import table, written
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below 0.5; learned from the labelled rows among ``docs``."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, docs.columns).filter("score < 0.5").select(*docs.columns)
+    return toxicity.score(docs, model, docs.columns, "__toxic").filter("__toxic < 0.5").select(*docs.columns)
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
