@@ -48,6 +48,11 @@ def _window_tables() -> np.ndarray:
 _TABLES = _window_tables()
 
 
+def place_tables() -> np.ndarray:
+    """Row k, column b: what byte b, k places before the last, adds to the windowed hash."""
+    return _TABLES
+
+
 def _windowed(data: bytes) -> list[int]:
     own = np.frombuffer(data, dtype=np.uint8)
     hashes = np.zeros(len(own) - LEAST + 1, dtype=np.uint32)

@@ -15,19 +15,34 @@ def lzss(data: bytes) -> bytes:
     """Dictionary of the last 4096 bytes, blanks at first; the longest, oldest match wins.
 
     Bits from the top: 1 and a byte, or 0, a place in the cyclic window (its low byte, then its
-    four high bits) and the length less 3."""
+    four high bits) and the length less 3.  A match may run from the newest byte of the window on
+    to its oldest, never into what is still to be coded."""
     bits, count, at, size = 0, 0, 0, len(data)
     out = bytearray()
-    past = b" " * WINDOW + data
+    past = b" " * WINDOW + data  # the window is past[at : at + WINDOW], what is to be coded follows
+    find = past.find
     while at < size:
-        window = past[at : at + WINDOW]
-        ring = window + window[: LONGEST - 1]
-        limit, place, length = min(LONGEST, size - at), 0, 0
-        for n in range(SHORTEST, limit + 1):
-            found = ring.find(data[at : at + n], place, WINDOW - 1 + n)
+        end = at + WINDOW
+        limit = min(LONGEST, size - at)
+        place = length = 0
+        n, start = SHORTEST, at
+        while n <= limit:
+            found = find(past[end : end + n], start, end)
             if found < 0:
-                break
-            place, length = found, n
+                # across the window's end: only the last n - 1 places are left to look at
+                seam = max(start, end - n + 1)
+                ring = past[seam:end] + past[at : at + n - 1]
+                turn = ring.find(past[end : end + n])
+                if turn < 0:
+                    break
+                found = seam + turn
+                length = n
+            else:
+                # as far as it goes on there
+                length = n
+                while length < limit and found + length < end and past[found + length] == past[end + length]:
+                    length += 1
+            place, start, n = found - at, found, length + 1
         if length:
             offset = (at + place) % WINDOW
             bits = bits << 17 | (offset & 0xFF) << 8 | offset >> 8 << 4 | length - SHORTEST
@@ -49,28 +64,24 @@ def lzss(data: bytes) -> bytes:
 def unlzss(data: bytes) -> bytes:
     """The inverse; a match is copied out of the window before the window moves."""
     past, at, size = bytearray(b" " * WINDOW), 0, len(data) * 8
-
-    def take(n: int) -> int:
-        nonlocal at
-        first, last = at >> 3, at + n + 7 >> 3
-        value = int.from_bytes(data[first:last], "big") >> (last * 8 - at - n) & (1 << n) - 1
-        at += n
-        return value
-
+    padded = data + bytes(3)
     while size - at >= 9:
-        if take(1):
-            past.append(take(8))
+        first = at >> 3
+        code = (padded[first] << 16 | padded[first + 1] << 8 | padded[first + 2]) >> 7 - (at & 7)  # 17 bits, and older ones above
+        if code & 0x10000:
+            past.append(code >> 8 & 0xFF)
+            at += 9
             continue
-        if size - at < 16:
+        if size - at < 17:
             break
-        low, high, length = take(8), take(4), take(4) + SHORTEST
-        offset, head = low | high << 8, (len(past) - WINDOW) % WINDOW
-        window = past[-WINDOW:]
-        place = (offset - head) % WINDOW
-        piece = window[place : place + length]
-        if len(piece) < length:
-            piece += window[: length - len(piece)]
+        end = len(past)
+        start = end - WINDOW + ((code >> 8 & 0xFF | (code & 0xF0) << 4) - end) % WINDOW
+        length = (code & 0xF) + SHORTEST
+        piece = past[start : start + length]
+        if start + length > end:
+            piece += past[end - WINDOW : end - WINDOW + start + length - end]
         past += piece
+        at += 17
     return bytes(past[WINDOW:])
 
 

@@ -42,14 +42,56 @@ def totals(rows: DataFrame, size: str = "payload_length") -> DataFrame:
     )
 
 
-def percentages(total: DataFrame) -> DataFrame:
-    """Factors and shares, null where they would divide by zero."""
+def percentage_columns() -> list[F.Column]:
     of = lambda a, b: F.when(F.col(b) != 0, F.col(a) / F.col(b))
     overhead = F.col("total_output") - F.col("total_compressed")
-    return total.select(
+    return [
         (100 * of("n_duplicates", "n_chunks")).alias("duplicate_pct"),
         of("total_input", "total_dedup").alias("dedup_factor"),
         of("total_dedup", "total_compressed").alias("compression_factor"),
         of("total_input", "total_output").alias("total_factor"),
         F.when(F.col("total_output") != 0, 100 * overhead / F.col("total_output")).alias("overhead_pct"),
+    ]
+
+
+def percentages(total: DataFrame) -> DataFrame:
+    """Factors and shares, null where they would divide by zero."""
+    return total.select(*percentage_columns())
+
+
+# Unit names, each 1024 of the one before.
+UNITS = ("Bytes", "KB", "MB", "GB", "TB", "PB", "EB")
+
+
+def scaled(total: DataFrame, columns: tuple[str, ...] = ("total_input", "total_dedup", "total_compressed", "total_output")) -> DataFrame:
+    """The totals in the largest unit in which all of them are one at least, with its name as unit."""
+    least = F.least(*columns)
+    step = sum(F.when(least >= float(1024**k), 1).otherwise(0) for k in range(1, len(UNITS)))
+    return total.select(*((F.col(c) / F.pow(F.lit(1024.0), step)).alias(c) for c in columns), F.element_at(F.array(*map(F.lit, UNITS)), step + 1).alias("unit"))
+
+
+def slot_mean(slots: DataFrame) -> DataFrame:
+    """mean, stddev and root_sum_squares over a histogram's slots (midpoint, n), by their midpoints.
+
+    root_sum_squares is the old reports' deviation, which isn't divided by the number."""
+    n, x = F.sum("n"), F.col("midpoint").cast("double")
+    sums = slots.agg(n.alias("n"), F.sum(x * F.col("n")).alias("s"), F.sum(x * x * F.col("n")).alias("q"))
+    spread = F.greatest(F.col("q") - F.col("s") * F.col("s") / F.col("n"), F.lit(0.0))
+    return sums.filter("n > 0").select((F.col("s") / F.col("n")).alias("mean"), F.sqrt(spread / F.col("n")).alias("stddev"), F.sqrt(spread).alias("root_sum_squares"))
+
+
+def size_throughput(rows: DataFrame) -> DataFrame:
+    """seconds, input_mb, output_mb, ratio_pct, input_mb_s, output_mb_s from input_bytes, output_bytes and micros."""
+    mb = float(1 << 20)
+    seconds = F.col("micros") / 1e6
+    some = lambda a, b: F.when(b != 0, a / b)
+    others = [c for c in rows.columns if c not in ("input_bytes", "output_bytes", "micros")]
+    return rows.select(
+        *others,
+        seconds.alias("seconds"),
+        (F.col("input_bytes") / mb).alias("input_mb"),
+        (F.col("output_bytes") / mb).alias("output_mb"),
+        (100 * some(F.col("output_bytes"), F.col("input_bytes"))).alias("ratio_pct"),
+        some(F.col("input_bytes") / mb, seconds).alias("input_mb_s"),
+        some(F.col("output_bytes") / mb, seconds).alias("output_mb_s"),
     )
