@@ -11,29 +11,35 @@ likeness of two fingerprints is the resemblance estimated from the smallest hash
 highest level that both hold.
 
 Edited texts take their end from the next document in ascending id.  Documents are dealt by
-ranges of ids, and each range gets a copy of the next range's first document, so text moves
-once and no task sees more than its ranges.
+ranges of their order - the id, then a hash of the text, then the row - so one id, or none, on
+many rows is as many ranges as it takes.  The ranges' bounds come from about ``KEYS`` sampled
+keys a range (they decide where ranges end, not what is next); each range gets a copy of the
+next range's first document, so text moves once and no task sees more than its range.
 
 Defined cases: null or empty text has the empty fingerprint, which is like itself (1) and
-unlike any other (0); null ids come last; of repeated ids the lesser text comes first, and
-repeated rows follow each other; a single document follows itself; an empty table gives no
-rows; texts are read whole; extra columns are ignored.
+unlike any other (0); null ids come last; of repeated ids the text with the lesser xxhash64
+comes first, and repeated rows follow each other; a single document follows itself; an empty
+table gives no rows; texts are read whole; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnspark.llm.shared import slices
+from cairnspark.llm.shared import ROW, below, drop, numbered, slices, written
 
 LEVELS, LEAST, KEPT = 4, 16, 48
+#: Sampled keys a range.
+KEYS = 64
 #: Characters parsed at a time.
 CHUNK = 1 << 17
 
@@ -166,22 +172,34 @@ def edited(text: str, following: str) -> str:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text dealt by ranges of ids and sorted; a range ends with a copy (``after``) of what follows it."""
+    """doc_id, text, range, after: dealt by ranges of the order and sorted; a range ends with a copy (``after``) of what follows it."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = rows.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 10 * n)).first()[0] or []
-    bounds = F.array(*(F.lit(b).cast("long") for b in sorted(set(bounds)))) if bounds else F.array().cast("array<long>")
-    below = F.size(F.filter(bounds, lambda b: b <= F.col("doc_id")))
-    rows = rows.withColumn("range", F.when(F.col("doc_id").isNull(), n + 1).otherwise(below))
+    rows = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
+    order = {"k0": F.col("doc_id").isNull().cast("long"), "k1": F.coalesce("doc_id", F.lit(0)), "k2": F.xxhash64("text"), "k3": F.xxhash64(ROW, F.lit(1))}
+    rows = rows.withColumns(order)
+    keys = written(rows.select(*order), "keys")
+    n, total = int(spark.conf.get("spark.sql.shuffle.partitions")), keys.count()
+    share = min(1.0, KEYS * n / max(total, 1))
+    some = keys.filter(below(F.col("k3"), share))
+    some = sorted(tuple(r) for r in some.collect())  # about KEYS a range
+    bounds = [some[k * len(some) // n] for k in range(1, n)] if some else []
+
+    @F.pandas_udf("int")
+    def range_of(k0: pd.Series, k1: pd.Series, k2: pd.Series, k3: pd.Series) -> pd.Series:
+        return pd.Series([bisect_right(bounds, x) for x in zip(k0.tolist(), k1.tolist(), k2.tolist(), k3.tolist(), strict=True)], dtype="int32")
+
     # one row a range, as many as there are shuffle partitions
-    firsts = rows.groupBy("range").agg(F.min("doc_id").alias("first_id"))
-    order = Window.orderBy("range")
-    whole = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    firsts = firsts.select("first_id", F.coalesce(F.lag("range").over(order), F.last("range").over(whole)).alias("before"))
-    copies = rows.join(F.broadcast(firsts), F.col("doc_id").eqNullSafe(F.col("first_id"))).select("doc_id", "text", F.col("before").alias("range"), F.lit(True).alias("after"))
-    dealt = rows.withColumn("after", F.lit(False)).select("doc_id", "text", "range", "after").unionByName(copies)
-    return dealt.repartition(n, "range").sortWithinPartitions("range", "after", F.col("doc_id").asc_nulls_last(), "text")
+    firsts = sorted((r.range, tuple(r.first)) for r in keys.groupBy(range_of(*order).alias("range")).agg(F.min(F.struct(*order)).alias("first")).collect())
+    before = {first: firsts[k - 1][0] for k, (_, first) in enumerate(firsts)}
+    drop(keys)
+
+    @F.pandas_udf("array<int>")
+    def ranges_of(k0: pd.Series, k1: pd.Series, k2: pd.Series, k3: pd.Series) -> pd.Series:
+        keys = list(zip(k0.tolist(), k1.tolist(), k2.tolist(), k3.tolist(), strict=True))
+        return pd.Series([[bisect_right(bounds, x), before[x]] if x in before else [bisect_right(bounds, x)] for x in keys])
+
+    dealt = rows.select("doc_id", "text", *order, F.posexplode(ranges_of(*order)).alias("after", "range"))
+    return dealt.repartitionById(n, "range").sortWithinPartitions("after", *order).select("doc_id", "text", "range", (F.col("after") > 0).alias("after"))
 
 
 def fingerprinted(docs: DataFrame) -> DataFrame:

@@ -1,9 +1,11 @@
 """Main text of HTML pages by tag ratios (operator 1).
 
 A page is read once with the standard library's event parser.  Block tags end a "line";
-a line holds its text and how many tags stood in it.  Markup that is never content by its
-own meaning (menus, forms, scripts, footers, adverts, comments and the like, by tag, role
-or class) is dropped with all it holds.  Each line's text-to-tag ratio is smoothed with a
+a line holds its text and how many tags stood in it.  Scripts, styles and the like hold no text.
+Tags, roles and names of other furniture (menus, forms, footers, adverts, comments) mark what
+they hold; a mark is heeded unless the page speaks against it: it holds more than half of the
+text and either most of the text in articles, or has a name of a wrapper, or leaves next to
+nothing outside all marks.  What heeded marks hold is no line.  Each line's text-to-tag ratio is smoothed with a
 Gaussian over its neighbours, and lines whose smoothed ratio clusters above the threshold form
 the content regions (a one-dimensional two-means split, started at the standard deviation,
 decides the threshold).  Marked content (an article or main element) is evidence: with o the odds
@@ -14,8 +16,10 @@ lines, marked or not as they are, that are not mostly links, so short paragraphs
 begin or end one.
 
 Defined cases: null, empty or text-free html gives the empty string; white space of any
-kind inside a block is one blank; unclosed tags end where their parent ends; nothing is
-cut from long pages; repeated rows give repeated results; extra columns are ignored.
+kind inside a block is one blank; unclosed tags end where their parent ends; broken character
+references stay as they are written; lines with ratios at the threshold itself are not kept by
+it; nothing is cut from long pages; repeated rows give repeated results; a null id or url is
+kept; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,8 +37,10 @@ from cairnspark.llm.shared import slices
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
-#: Elements that never hold the main text.
-CHROME = frozenset("nav footer aside form script style noscript template iframe object svg canvas button select textarea head menu dialog audio video map".split())
+#: Elements whose text is never shown as such.
+RAW = frozenset("script style noscript template iframe object svg canvas button select textarea head audio video map".split())
+#: Elements that hold furniture.
+CHROME = frozenset("nav footer aside form menu dialog".split())
 #: A header is chrome unless it stands inside an article.
 CONTENT = frozenset(("article", "main"))
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
@@ -46,6 +52,11 @@ NAMES = frozenset(
     "notice notices cookie cookies consent gdpr popup modal overlay alert newsletter subscribe subscription signup login "
     "comment comments disqus reply replies respond discussion share sharing social".split()
 )
+#: Words that, beside one of those, tell of a wrapper or of an article's own heading.
+WRAPPERS = frozenset("wrap wrapper container layout content main inner page body grid row columns".split())
+OWN = frozenset("post entry article story content chapter section".split())
+#: What may be an article's section too, unless it holds what the second set names.
+TALK, TALKERS = frozenset(("discussion", "respond", "replies")), frozenset("comment comments reply disqus".split())
 #: First words of names that tell of a state of the page, not of what the element is.
 STATES = frozenset("has with without no is".split())
 _NAME = re.compile(r"[a-z]+")
@@ -54,41 +65,55 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 _ENDS = {"li": {"li"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
 
 
+class Mark:
+    """An element that looks like furniture, and what it holds."""
+
+    def __init__(self, weak: bool, talk: bool, contents: int):
+        self.weak, self.talk, self.contents = weak, talk, contents
+        self.chars = self.article_chars = 0
+        self.talkers = False
+
+
 class Lines(HTMLParser):
-    """Collects (text, tags, in marked content, is mostly links) lines of one page."""
+    """Collects the lines of one page: their parts (text, marks, linked), tags, and how many articles they are in."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool, bool]] = []
-        self.parts: list[str] = []
+        self.lines: list[tuple[list[tuple[str, tuple[Mark, ...], bool]], int, int]] = []
+        self.parts: list[tuple[str, tuple[Mark, ...], bool]] = []
         self.tags = 0
-        self.open: list[tuple[str, bool, bool]] = []  # tag, chrome, content
-        self.chrome = self.content = self.anchors = 0
-        self.linked = 0  # characters
+        self.open: list[tuple[str, bool, Mark | None, bool]] = []  # tag, raw, mark, content
+        self.raw = self.content = self.anchors = 0
+        self.marks: tuple[Mark, ...] = ()
 
     def end_line(self) -> None:
-        text = " ".join("".join(self.parts).split())
-        if text:
-            self.lines.append((text, self.tags, self.content > 0, 2 * self.linked > len(text)))
-        self.parts.clear()
-        self.tags, self.linked = 0, 0
+        if self.parts:
+            self.lines.append((self.parts, self.tags, self.content))
+            self.parts = []
+        self.tags = 0
 
-    def _is_chrome(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    def _mark(self, tag: str, attrs: list[tuple[str, str | None]]) -> Mark | None:
         if tag in CHROME or tag == "header" and not self.content:
-            return True
+            return Mark(False, False, self.content)
         if tag in ("html", "body", *CONTENT):
-            return False
+            return None
         for k, v in attrs:
             if k in ("class", "id"):
                 for words in map(_NAME.findall, (v or "").lower().split()):
-                    if words and words[0] not in STATES and not NAMES.isdisjoint(words):
-                        return True
+                    hits = NAMES.intersection(words)
+                    if not hits or words[0] in STATES:
+                        continue
+                    if hits <= {"header"} and (self.content or not OWN.isdisjoint(words)):
+                        continue  # an article's own heading
+                    for m in self.marks if not TALKERS.isdisjoint(words) else ():
+                        m.talkers = True
+                    return Mark(not WRAPPERS.isdisjoint(words), hits <= TALK and self.content > 0, self.content)
             elif k == "role":
                 if (v or "").lower() in ROLES:
-                    return True
+                    return Mark(False, False, self.content)
             elif k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and _HIDDEN.search(v.lower()):
-                return True
-        return False
+                return Mark(False, False, self.content)
+        return None
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag not in INLINE:
@@ -98,9 +123,12 @@ class Lines(HTMLParser):
             return
         if tag in _ENDS and any(t == tag or t in _ENDS[tag] for t, *_ in self.open[-1:]):
             self._close(len(self.open) - 1)
-        chrome, content = self._is_chrome(tag, attrs), tag in CONTENT
-        self.open.append((tag, chrome, content))
-        self.chrome += chrome
+        raw, content = tag in RAW, tag in CONTENT
+        mark = None if raw or self.raw else self._mark(tag, attrs)
+        self.open.append((tag, raw, mark, content))
+        if mark:
+            self.marks = (*self.marks, mark)
+        self.raw += raw
         self.content += content
         self.anchors += tag == "a"
 
@@ -113,10 +141,12 @@ class Lines(HTMLParser):
                 self.handle_endtag(tag)
 
     def _close(self, at: int) -> None:
-        for tag, chrome, content in self.open[at:]:
+        for tag, raw, mark, content in self.open[at:]:
             self.anchors -= tag == "a"
-            self.chrome -= chrome
+            self.raw -= raw
             self.content -= content
+            if mark:
+                self.marks = self.marks[:-1]
         del self.open[at:]
 
     def handle_endtag(self, tag: str) -> None:
@@ -133,10 +163,46 @@ class Lines(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
-        if not self.chrome:
-            self.parts.append(data)
-            if self.anchors > 0:
-                self.linked += len(" ".join(data.split()))
+        if not self.raw:
+            self.parts.append((data, self.marks, self.anchors > 0))
+
+    def heeded(self) -> list[tuple[str, int, bool, bool]]:
+        """(text, tags, in marked content, is mostly links) of the lines outside the marks that are heeded."""
+        total = outside = 0
+        for parts, _, contents in self.lines:
+            for data, marks, linked in parts:
+                if not linked:
+                    n = len("".join(data.split()))
+                    total += n
+                    outside += 0 if marks else n
+                    for m in marks:
+                        m.chars += n
+                        m.article_chars += n if contents > m.contents else 0
+
+        def stands(m: Mark) -> bool:
+            if m.talk and not m.talkers:
+                return False
+            return not (2 * m.chars > total and (m.weak or 2 * m.article_chars > total or 20 * outside < total))
+
+        stood: dict[int, bool] = {}
+
+        def heed(m: Mark) -> bool:
+            if id(m) not in stood:
+                stood[id(m)] = stands(m)
+            return stood[id(m)]
+
+        out = []
+        for parts, tags, contents in self.lines:
+            own, linked_chars = [], 0
+            for data, marks, linked in parts:
+                if any(map(heed, marks)):
+                    continue
+                own.append(data)
+                if linked:
+                    linked_chars += len(" ".join(data.split()))
+            if text := " ".join("".join(own).split()):
+                out.append((text, tags, contents > 0, 2 * linked_chars > len(text)))
+        return out
 
 
 def smoothed(ratios: list[float], sigma: float) -> list[float]:
@@ -172,7 +238,7 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     parser.feed(html)
     parser.close()
     parser.end_line()
-    lines = parser.lines
+    lines = parser.heeded()
     if not lines:
         return ""
     ratios = smoothed([len(text) / max(tags, 1) for text, tags, *_ in lines], sigma)

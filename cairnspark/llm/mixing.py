@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairnspark.llm.shared import ROW, drop, numbered, written
+from cairnspark.llm.shared import ROW, drop, free, numbered, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3.0
@@ -250,6 +250,7 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = M
 def mix(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with each row as often as the mix takes it."""
     rows = numbered(docs)
-    plan = mixed(rows, **options).filter("copies > 0").select(F.col("at").alias("__taken"), F.col("copies").alias("__copies"))
-    many = rows.join(plan, F.col(ROW) == F.col("__taken")).withColumn("__nth", F.explode(F.sequence(F.lit(1).cast("long"), "__copies")))
+    at, copies, nth = (free(docs, c) for c in ("taken", "copies", "nth"))
+    plan = mixed(rows, **options).filter("copies > 0").select(F.col("at").alias(at), F.col("copies").alias(copies))
+    many = rows.join(plan, F.col(ROW) == F.col(at)).withColumn(nth, F.explode(F.sequence(F.lit(1).cast("long"), copies)))
     return many.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairnspark.llm.shared import ROW, drop, numbered, slices, written
+from cairnspark.llm.shared import ROW, drop, free, numbered, slices, written
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, WIDTH = 48, 7
@@ -430,7 +430,7 @@ def representatives(docs: DataFrame, **options) -> DataFrame:
     marks = _marked(rows, **options)
     # by the label, as components of null ids or of one repeated id share their component_id
     first = marks.filter("kept and n_shingles > 0").groupBy("label").agg(F.min("at").alias("first"))
-    gone = marks.filter("n_shingles > 0").join(first, "label").filter("at <> first").select(F.col("at").alias("__gone"))
+    gone = marks.filter("n_shingles > 0").join(first, "label").filter("at <> first").select(F.col("at").alias(free(docs, "gone")))
     gone = written(gone, "gone")
     drop(marks)
-    return rows.join(gone, F.col(ROW) == F.col("__gone"), "left_anti").select(*(F.col(f"`{c}`") for c in names if c != ROW))
+    return rows.join(gone, F.col(ROW) == F.col(free(docs, "gone")), "left_anti").select(*(F.col(f"`{c}`") for c in names if c != ROW))

@@ -3,14 +3,16 @@
 Inner products become distances: with M the largest norm, a vector x is placed at
 (x, sqrt(M^2 - |x|^2)) and a query q at (q, 0), so that d^2 = |q|^2 + M^2 - 2 q.x falls as
 the product rises.  A routing tree, fitted on a sample of at most ``SAMPLE`` rows, deals every
-row to a leaf; leaves of more than ``SHARD`` rows are dealt on by a hash of the id, so one
-frequent vector fills no shard.  Each shard builds its own vantage-point tree over all its
-rows.  A query visits a branch beyond a vantage point's radius only if its distance to that
+row to a leaf; leaves of more rows than a shard holds are dealt on by a hash of the id, so one
+frequent vector fills no shard.  A task holds a shard, builds its vantage-point tree once and
+searches it for the queries that are sent there, ``ASKED`` at a time as they stream by.  A query
+visits a branch beyond a vantage point's radius only if its distance to that
 sphere is at most ``factor`` times its distance to the k-th nearest so far; with factor 1
 that is the triangle inequality and the search exact, less is faster and may miss some: how
 many depends on the vectors, so the default is 1.  Distances are compared with room for their
-rounding.  The same rule, with the sample's k-th nearest as the bound, chooses the shards a query is sent
-to.  Queries are dealt in blocks of bounded size.
+rounding.  The same rule, with the sample's k-th nearest as the bound, chooses the shards a query is
+sent to.  A row moves once; a query moves once for each shard it must visit, so shards grow with
+the table, from ``SHARD`` rows to ``LARGEST``.
 
 Scores are sums in double precision in the order of the components, on the vectors as they
 are.  Equal vectors of a shard are one point of its tree.
@@ -18,7 +20,8 @@ are.  Equal vectors of a shard are one point of its tree.
 Defined cases: vectors that are null, empty, zero, hold null or non-finite components, or
 have another length than most take no part; a null id takes no part; repeated rows are
 candidates each, repeated queries are one (the least vector, should they differ); fewer
-candidates than k are all returned; ties go to the smaller id; an empty table gives no rows.
+candidates than k are all returned; ties go to the smaller id; extra columns are ignored; vectors
+of any one length are searched whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,14 +30,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairnspark.llm.shared import slices, written
+from cairnspark.llm.shared import below, drop, slices, written
 
-SAMPLE, SHARD, BLOCK, LEAF = 8192, 4096, 8192, 128
+SAMPLE, SHARD, LARGEST, LEAF = 8192, 4096, 65536, 128
+#: Queries that a shard's tree is searched for at a time.
+ASKED = 2048
 #: Components the sample may hold in all, for wide vectors.
 SAMPLE_COMPONENTS = 8 << 20
 #: Exact; what less finds depends on the vectors (see the README).
@@ -191,6 +195,34 @@ class Search:
         self.row, self.point, self.score = (np.concatenate([a[~old], b[keep]]) for a, b in ((self.row, row), (self.point, point), (self.score, score)))
 
 
+class Shard:
+    """A shard's distinct points in a tree, and the ids of each point."""
+
+    def __init__(self, x: np.ndarray, ids: np.ndarray, top: float):
+        points, point = np.unique(x, axis=0, return_inverse=True)
+        order = np.lexsort((ids, point := point.ravel()))
+        self.ids, self.starts = ids[order], np.searchsorted(point[order], np.arange(len(points) + 1))
+        self.tree = Tree(points, top, LEAF)
+
+    def nearest(self, qid: np.ndarray, q: np.ndarray, bound: np.ndarray, k: int, factor: float) -> pa.RecordBatch:
+        """query_id, vec_id, score: each query's k best here, itself left out."""
+        # one more than k, as a query's own row is no candidate
+        found = Search(self.tree, q, k + 1, factor, bound)
+        # of equal vectors the k + 1 smallest ids can be among the nearest
+        many = np.minimum(np.diff(self.starts)[found.point], k + 1)
+        row, score = np.repeat(found.row, many), np.repeat(found.score, many)
+        at = np.repeat(self.starts[found.point], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        own = self.ids[at]
+        keep = qid[row] != own
+        row, own, score = row[keep], own[keep], score[keep]
+        order = np.lexsort((own, -score, row))
+        row, own, score = row[order], own[order], score[order]
+        first = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, dtype=int)
+        place = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row))))
+        keep = place < k
+        return pa.RecordBatch.from_arrays([pa.array(qid[row[keep]]), pa.array(own[keep]), pa.array(score[keep])], ["query_id", "vec_id", "score"])
+
+
 def _usable(rows: DataFrame) -> DataFrame:
     x = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     fine = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
@@ -201,7 +233,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def nearest(rows: DataFrame, every: int = 20, k: int = K, factor: float = FACTOR, shard: int = SHARD, sample: int = SAMPLE) -> DataFrame:
+def nearest(rows: DataFrame, every: int = 20, k: int = K, factor: float = FACTOR, shard: int | None = None, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score.  Queries are the rows whose id is divisible by ``every``."""
     spark = rows.sparkSession
     good = _usable(rows)
@@ -209,14 +241,19 @@ def nearest(rows: DataFrame, every: int = 20, k: int = K, factor: float = FACTOR
     most = sizes.orderBy(F.col("n").desc(), "d").limit(1).collect()
     if not most or not most[0].q:
         return good.limit(0).select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
-    dims, n, top, n_queries = most[0].d, most[0].n, most[0].top, most[0].q
+    dims, n, top = most[0].d, most[0].n, most[0].top
     good = good.filter(F.size("v") == dims)
 
-    # the routing tree, from a bounded sample
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shard = shard or min(LARGEST, max(SHARD, -(-n // tasks)))
+
+    # the routing tree, from a bounded sample: the ids with the smallest hashes
     bound = max(256, min(sample, SAMPLE_COMPONENTS // dims))
-    part = int(min(1.0, 0.9 * bound / n) * 1_000_000)
-    taken = good.filter(F.pmod(F.xxhash64(F.lit(5), "vec_id"), F.lit(1_000_000)) < part) if n > bound else good
-    taken = taken.limit(bound).toPandas().sort_values("vec_id")
+    taken, order = good, F.xxhash64(F.lit(5), "vec_id")
+    if n > bound:  # first about so many, by a bound on all 64 bits, then exactly
+        share = min(1.0, (1.2 * bound + 1000) / n)
+        taken = good.filter(below(order, share)).orderBy(order, "vec_id", "v").limit(bound)
+    taken = taken.toPandas().sort_values("vec_id", kind="stable")
     ids, points = taken.vec_id.to_numpy(), np.stack(taken.v.to_list()) if len(taken) else np.zeros((0, dims))
     leaves = max(1, min(-(-n // shard), len(points) // 16))
     router = Tree(points, top, max(1, -(-len(points) // leaves)))
@@ -228,10 +265,10 @@ def nearest(rows: DataFrame, every: int = 20, k: int = K, factor: float = FACTOR
 
     dealt = written(good.mapInArrow(deal, "vec_id long, v array<double>, leaf long"), "leaves")
     counts = {r.leaf: r["count"] for r in dealt.groupBy("leaf").count().collect()}  # at most a leaf per sampled row
-    parts = {leaf: -(-c // shard) for leaf, c in counts.items()}
-    blocks = -(-n_queries // BLOCK)
-    several = F.element_at(F.create_map(*(F.lit(x).cast("long") for kv in parts.items() for x in kv)), F.col("leaf"))
-    own = dealt.select(F.struct("leaf", F.pmod(F.xxhash64("vec_id"), several).alias("part")).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "vec_id", "v")
+    parts = {leaf: -(-c // shard) for leaf, c in sorted(counts.items())}
+    first = dict(zip(parts, [sum(list(parts.values())[:i]) for i in range(len(parts))], strict=True))
+    told = lambda x: F.element_at(F.create_map(*(F.lit(y).cast("long") for kv in x.items() for y in kv)), F.col("leaf"))
+    own = dealt.select((told(first) + F.pmod(F.xxhash64("vec_id"), told(parts))).cast("int").alias("shard"), F.lit(0).alias("asks"), "vec_id", "v", F.lit(0.0).alias("bound"))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -245,32 +282,38 @@ def nearest(rows: DataFrame, every: int = 20, k: int = K, factor: float = FACTOR
             if s.shape[1] >= k:
                 kth = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
                 far = np.where(np.isfinite(kth), np.sqrt(np.maximum((q**2).sum(axis=1) + top**2 - 2 * kth, 0.0)), np.inf) * (1 + 1e-9)
-            to = [[{"leaf": leaf, "part": p} for leaf in reach if leaf in parts for p in range(parts[leaf])] for reach in router.reached(q, far, factor)]
-            kind = pa.list_(pa.struct([("leaf", pa.int64()), ("part", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(far), pa.array(to, kind)], ["vec_id", "v", "bound", "shards"])
+            to = [[first[leaf] + p for leaf in reach if leaf in parts for p in range(parts[leaf])] for reach in router.reached(q, far, factor)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(far), pa.array(to, pa.list_(pa.int32()))], ["vec_id", "v", "bound", "shards"])
 
     queries = dealt.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    routed = queries.mapInArrow(route, "vec_id long, v array<double>, bound double, shards array<struct<leaf:long,part:long>>")
-    asked = routed.select(F.explode("shards").alias("shard"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), "vec_id", "v", "bound")
-
-    def search(key, x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(q):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        ids = x.vec_id.to_numpy()
-        points, point = np.unique(np.stack(x.v.to_list()), axis=0, return_inverse=True)
-        order = np.lexsort((ids, point := point.ravel()))
-        starts = np.searchsorted(point[order], np.arange(len(points) + 1))
-        # one more than k, as a query's own row is no candidate
-        found = Search(Tree(points, top, LEAF), np.stack(q.v.to_list()), k + 1, factor, q.bound.to_numpy())
-        # of equal vectors the k + 1 smallest ids can be among the nearest
-        many = np.minimum(np.diff(starts)[found.point], k + 1)
-        row, score = np.repeat(found.row, many), np.repeat(found.score, many)
-        at = np.repeat(starts[found.point], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        out = pd.DataFrame({"query_id": q.vec_id.to_numpy()[row], "vec_id": ids[order][at], "score": score})
-        out = out[out.query_id != out.vec_id].sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True], kind="stable")
-        return out.groupby("query_id", sort=False).head(k)
-
-    both = own.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block"))
-    hits = both.applyInPandas(search, "query_id long, vec_id long, score double")
+    routed = queries.mapInArrow(route, "vec_id long, v array<double>, bound double, shards array<int>")
+    asked = routed.select(F.explode("shards").alias("shard"), F.lit(1).alias("asks"), "vec_id", "v", "bound")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, held_ids, found = None, [], [], None
+        for batch in batches:
+            kinds = batch.column(0).to_numpy().astype(np.int64) * 2 + batch.column(1).to_numpy()
+            edges = np.flatnonzero(np.diff(kinds)) + 1
+            for start, end in zip([0, *edges.tolist()], [*edges.tolist(), len(kinds)], strict=True):
+                here, asks = divmod(int(kinds[start]), 2) if end > start else (None, 0)
+                if here is None:
+                    continue
+                if here != at:
+                    at, held, held_ids, found = here, [], [], None
+                if not asks:
+                    held.append(_matrix(batch.column(3).slice(start, end - start)))
+                    held_ids.append(batch.column(2).slice(start, end - start).to_numpy())
+                    continue
+                if not held:
+                    continue
+                if found is None:
+                    found = Shard(np.concatenate(held), np.concatenate(held_ids), top)
+                for i in range(start, end, ASKED):
+                    part = batch.slice(i, min(ASKED, end - i))
+                    yield found.nearest(part.column(2).to_numpy(), _matrix(part.column(3)), part.column(4).to_numpy(), k, factor)
+
+    both = own.unionByName(asked)
+    both = both.repartitionById(min(tasks, sum(parts.values())), F.pmod("shard", F.lit(min(tasks, sum(parts.values()))))).sortWithinPartitions("shard", "asks")
+    hits = both.mapInArrow(search, "query_id long, vec_id long, score double")
     by = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return hits.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -13,8 +13,9 @@ too; those from ``GENERALISE`` on are generalised to a word class.
 Text counts of terms are taken over all documents, summed in each task before the shuffle;
 what is shuffled are hashes of terms.  Entities that stand in the same texts are rated as one, and
 pairs (entity, term) are counted before they are joined, so a frequent entity or term is one row.
-Texts are searched for disclosing terms with a bitmap of their hashes of ``BITS`` bits at most;
-what passes it is joined with the terms themselves, so the bitmap decides nothing.  Rows of a
+Texts are searched for the terms beside entities, and later for the disclosing ones, with a bitmap of
+their hashes of ``BITS`` bits at most; what passes it is joined with the terms themselves, so the
+bitmap decides nothing.  Rows of a
 Parquet table are known by file and place in each scan; other frames are stored first.
 
 Defined cases: null or empty text holds nothing; repeated rows are texts each; overlapping
@@ -38,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnspark.llm.shared import ROW, drop, numbered, slices, written
+from cairnspark.llm.shared import ROW, drop, free, numbered, slices, written
 
 DISCOUNT, DISCLOSE, GENERALISE = 0.75, 0.9, 0.7
 BITS = 1 << 22
@@ -113,21 +114,53 @@ def listed(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def term_hash(term: str) -> int:
-    return xxhash.xxh64_intdigest(term.lower()) - (1 << 63)
+#: Latin letters stand for themselves, all other bytes are blanks.
+_LATIN = bytes(c if _TERM_LETTER.match(chr(c)) else 32 for c in range(256))
+_OTHER_LETTER = re.compile(r"[^\W\d_\x00-\xff]")
 
 
-def terms(text: str) -> set[str]:
-    return {t.lower() for t in set(_TERM.findall(text))}
+def latin(text: str) -> bytes | None:
+    """The text in lower case, a byte a code point, with blanks for what is no letter; None if it has other letters than Latin-1's."""
+    low = text.lower()
+    try:
+        out = low.encode("latin-1")
+    except UnicodeEncodeError:
+        if len(low) != len(text) or _OTHER_LETTER.search(text):
+            return None
+        out = low.encode("latin-1", "replace")
+    return out.translate(_LATIN)
+
+
+def terms(text: str) -> set[bytes] | set[str]:
+    """The distinct words of three letters or more, in lower case (as bytes where ``latin`` reads the text)."""
+    if (plain := latin(text)) is None:
+        return {t.lower() for t in set(_TERM.findall(text))}
+    return {w for w in set(plain.split()) if len(w) > 2}
+
+
+def places(text: str, wanted: set) -> Iterator[tuple]:
+    """(term, start, end) of the wanted terms (as ``terms`` gives them), wherever they stand."""
+    if (plain := latin(text)) is None:
+        yield from ((m[0].lower(), *m.span()) for m in _TERM.finditer(text) if m[0].lower() in wanted)
+        return
+    plain = b" " + plain + b" "
+    for t in wanted:
+        at, word = -1, b" " + t + b" "
+        while (at := plain.find(word, at + 1)) >= 0:
+            yield t, at, at + len(t)
+
+
+def term_hash(term: bytes | str) -> int:
+    return xxhash.xxh64_intdigest(term.decode("latin-1") if isinstance(term, bytes) else term) - (1 << 63)
 
 
 class _Hashes:
     """Hashes of terms, with those of frequent terms at hand."""
 
     def __init__(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known: dict[bytes | str, int] = {}
 
-    def __call__(self, term: str) -> int:
+    def __call__(self, term: bytes | str) -> int:
         if (h := self.known.get(term)) is None:
             if len(self.known) > 300_000:
                 self.known.clear()
@@ -170,19 +203,41 @@ def _scan(rows: DataFrame) -> DataFrame:
     return rows.select(ROW, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _FOUND)
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
-    """term (hash), texts: in how many texts each term stands, over all texts."""
+class Bitmap:
+    """Bits of a table's terms: what has none is not in the table.  ``BITS`` bits at most."""
+
+    def __init__(self, told: DataFrame):
+        self.size = min(BITS, 1 << max(10, (16 * told.count()).bit_length()))
+        slots = told.select(F.expr(f"shiftright(term & {self.size - 1}L, 6)").alias("slot"), F.expr("shiftleft(1L, cast(term & 63L as int))").alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits"))
+        self.bits = np.zeros(self.size >> 6, dtype=np.int64)
+        for r in slots.collect():  # BITS / 64 rows at most
+            self.bits[r.slot] = r.bits
+        self.known: dict[bytes | str, int | None] = {}
+
+    def __call__(self, term: bytes | str) -> int | None:
+        """The term's hash, or None if the table surely lacks it."""
+        if term in self.known:
+            return self.known[term]
+        if len(self.known) > 300_000:
+            self.known.clear()
+        h = term_hash(term)
+        self.known[term] = out = h if int(self.bits[(h & (self.size - 1)) >> 6]) >> (h & 63) & 1 else None
+        return out
+
+
+def term_counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """term (hash), texts: in how many texts, of all, each term stands; of ``wanted`` terms, and some more."""
+    bitmap = Bitmap(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
-        hashes = _Hashes()
 
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.int64())], ["term", "n"])
 
         for batch in slices(batches):
             for text in batch.column(0).to_pylist():
-                held.update(map(hashes, terms(text)) if text else ())
+                held.update(h for h in map(bitmap, terms(text)) if h is not None) if text else None
             if len(held) > 600_000:
                 yield out()
                 held.clear()
@@ -203,7 +258,7 @@ def disclosing(scan: DataFrame, docs: DataFrame, generalise: float = GENERALISE,
     joint = pairs.groupBy("entity", "entity_texts", "term").agg(F.count("*").alias("both"))
     # a term's strictest rating needs each pair of counts once
     joint = written(joint.select("term", "entity_texts", "both").distinct(), "joint")
-    rated = joint.join(term_counts(docs), "term")
+    rated = joint.join(term_counts(docs, joint.select("term").distinct()), "term")
     p = F.col("entity_texts") / n
     given = (F.col("both") - discount + discount * p) / F.col("texts")
     part = F.when(p < 1, F.log2(given / p) / -F.log2(p)).otherwise(0.0)
@@ -212,34 +267,19 @@ def disclosing(scan: DataFrame, docs: DataFrame, generalise: float = GENERALISE,
 
 def _occurrences(rows: DataFrame, told: DataFrame) -> DataFrame:
     """row, term, at (starts and ends) of terms in all texts whose bits are those of terms in ``told``."""
-    size = min(BITS, 1 << max(10, (16 * told.count()).bit_length()))
-    slots = told.select(F.expr(f"shiftright(term & {size - 1}L, 6)").alias("slot"), F.expr("shiftleft(1L, cast(term & 63L as int))").alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits"))
-    packed = np.zeros(size >> 6, dtype=np.int64)
-    for r in slots.collect():  # BITS / 64 rows at most
-        packed[r.slot] = r.bits
+    bitmap = Bitmap(told)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     at_kind = pa.struct([("file", pa.int64()), ("place", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = packed.tolist()
-        known: dict[str, int | None] = {}
-
-        def told_hash(t: str) -> int | None:
-            if len(known) > 300_000:
-                known.clear()
-            h = term_hash(t)
-            known[t] = h if bits[(h & (size - 1)) >> 6] >> (h & 63) & 1 else None
-            return known[t]
-
         for batch in slices(batches):
             rows = []
             for n, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                hits = {t: h for t in (terms(text) if text else ()) if (h := known[t] if t in known else told_hash(t)) is not None}
+                hits = {t: h for t in (terms(text) if text else ()) if (h := bitmap(t)) is not None}
                 if hits:
-                    at: dict[str, list] = {}
-                    for m in _TERM.finditer(text):
-                        if (t := m[0].lower()) in hits:
-                            at.setdefault(t, []).append({"start": m.start(), "end": m.end()})
+                    at: dict[bytes | str, list] = {}
+                    for t, start, end in places(text, hits.keys()):
+                        at.setdefault(t, []).append({"start": start, "end": end})
                     rows += [(n, hits[t], x) for t, x in at.items()]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (at_kind, pa.int64(), kind), strict=True)], ["row", "term", "at"])
@@ -305,8 +345,9 @@ def replaced(text: str, spans: list[tuple[str, int, int]]) -> str:
 def sanitised(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with personal data and what discloses it taken out of ``text``, and ``n_chars`` made anew."""
     rows = numbered(docs)
-    spans = _spans(rows, **options).filter((F.size("base") > 0) | F.col("more").isNotNull()).select(F.col("row").alias("__of"), F.col("base").alias("__base"), F.col("more").alias("__more"))
-    marked = rows.join(spans, F.col(ROW) == F.col("__of"), "left")
+    of, base, more = (free(docs, c) for c in ("of", "base", "more"))
+    spans = _spans(rows, **options).filter((F.size("base") > 0) | F.col("more").isNotNull()).select(F.col("row").alias(of), F.col("base").alias(base), F.col("more").alias(more))
+    marked = rows.join(spans, F.col(ROW) == F.col(of), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -315,7 +356,7 @@ def sanitised(docs: DataFrame, **options) -> DataFrame:
 
     others = [c for c in docs.columns if c != "text"]
     schema = docs.select(*others).schema.add("text", "string")
-    done = marked.select(*others, F.col("text").cast("string"), "__base", "__more").mapInArrow(run, schema)
+    done = marked.select(*others, F.col("text").cast("string"), base, more).mapInArrow(run, schema)
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return done.select(*docs.columns)

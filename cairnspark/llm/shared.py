@@ -10,62 +10,22 @@ drops its tables as soon as nothing reads them any more; what its result reads s
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairnspark.sources.tables import clean, delete, drop, folder, scratch, written
+
+__all__ = ["ROW", "below", "clean", "delete", "drop", "folder", "free", "is_scan", "numbered", "scratch", "slices", "table", "written"]
+
 #: Rows that become Python objects at a time.  Spark bounds an Arrow batch itself at 64 MB.
 SLICE_ROWS, SLICE_BYTES = 512, 8 << 20
 #: The column that tells rows apart: a file and a row's place in it, or a number given once.
 ROW = "__cairn_row"
 
 
-def folder(spark: SparkSession) -> str:
-    """This application's own folder in the shared one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors and the driver share")
-        base = f"file://{tempfile.mkdtemp(prefix='cairnspark-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/cairnspark-{spark.sparkContext.applicationId}"
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def clean(spark: SparkSession) -> None:
-    """Deletes all tables that operators of this application have left; results not yet written are lost."""
-    delete(spark, folder(spark))
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder, read again: its lineage ends here."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.__dict__["_stored"] = path
-    return out
-
-
-def drop(*tables: DataFrame | None) -> None:
-    """Deletes what ``written`` made; frames that are none of its are left alone."""
-    for t in tables:
-        if t is not None and (path := t.__dict__.pop("_stored", None)):
-            delete(t.sparkSession, path)
-
-
 def is_scan(df: DataFrame) -> bool:
     """Whether ``df`` is no more than columns and filters of one Parquet table."""
     plan = df._jdf.queryExecution().optimizedPlan()
@@ -87,6 +47,20 @@ def numbered(docs: DataFrame) -> DataFrame:
     return written(docs.withColumn(ROW, F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("place"))), "rows")
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, whatever it has."""
+    taken = {c.lower() for c in df.columns}
+    name = f"__{name}"
+    while name in taken:
+        name += "_"
+    return name
+
+
+def below(hashed: F.Column, share: float) -> F.Column:
+    """Whether a 64-bit hash is among the lowest ``share`` of all."""
+    return hashed <= F.lit(int(share * float(1 << 64)) - (1 << 63)) if share < 1 else hashed.isNotNull()
+
+
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches in parts of bounded rows and, but for single rows, bytes."""
     for batch in batches:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnspark.llm.shared import drop, slices, written
+from cairnspark.llm.shared import below, drop, free, slices, written
 
 ROWS = 12_000
 FOLDS = 3
@@ -265,7 +265,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = ROWS) -> Model:
     order = F.xxhash64(F.lit(17), "doc_id")
     if total > bound:  # the ids with the smallest hashes: first about so many by a bound on the whole 64 bits, then exactly
         share = min(1.0, (1.2 * bound + 1000) / total)
-        known = known.filter(order <= F.lit(int(-(1 << 63) + share * ((1 << 64) - 1024)))).orderBy(order, "doc_id").limit(bound)
+        known = known.filter(below(order, share)).orderBy(order, "doc_id").limit(bound)
     fold = F.pmod(F.xxhash64(F.lit(23), "doc_id"), F.lit(FOLDS)).cast("int")
     # one text of each id, so that repeated rows don't raise the number of rows beyond the bound
     text = F.col("text").cast("string")
@@ -324,7 +324,8 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = ROWS) -> Model:
 
 def score(docs: DataFrame, model: Model, keep: list[str], name: str = "score") -> DataFrame:
     """``keep`` columns and the score, called ``name``; every row of ``docs``."""
-    rows = docs.select(F.col("text").cast("string").alias("__text"), *keep)
+    kept = docs.select(*keep)
+    rows = docs.select(F.col("text").cast("string").alias(free(docs, "text")), *keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words(model.lexicon)
@@ -332,5 +333,5 @@ def score(docs: DataFrame, model: Model, keep: list[str], name: str = "score") -
             x = np.array([features(t, known) for t in batch.column(0).to_pylist()]).reshape(-1, len(NAMES))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(model.scores(x), pa.float64())], [*batch.schema.names[1:], name])
 
-    schema = rows.drop("__text").schema.add(name, "double")
+    schema = kept.schema.add(name, "double")
     return rows.mapInArrow(run, schema)

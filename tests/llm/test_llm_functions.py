@@ -43,6 +43,75 @@ def test_regions_grow_over_linked_paragraphs():
     assert html.main_text(f"<body>{links}<div>{body}</div>{links}</body>") == " ".join(own)
 
 
+def test_marks_that_the_page_speaks_against():
+    body = "".join(f"<p>{'words and more words of content ' * 6}{i}</p>" for i in range(5))
+    text = " ".join(f"{'words and more words of content ' * 6}{i}" for i in range(5))
+    menu = "<nav><a>Home</a></nav><aside>Latest posts and other things</aside>"
+    assert html.main_text(f"<body>{menu}<div class='content-sidebar-wrap'><article>{body}</article></div></body>") == text
+    assert html.main_text(f"<body>{menu}<div class='content-sidebar-wrap'>{body}</div></body>") == text
+    assert html.main_text(f"<body>{menu}<article><div class='post-header'><h1>Title</h1></div>{body}</article></body>") == f"Title {text}"
+    assert html.main_text(f"<body>{menu}<div><div class='entry-header'><h1>Title</h1></div>{body}</div></body>") == f"Title {text}"
+    assert html.main_text(f"<body>{menu}<article>{body}<section class='discussion'><p>We found more.</p></section></article></body>") == f"{text} We found more."
+    # what stays furniture
+    talk = "".join(f"<div class='comment'><p>{'i say this and that ' * 9}</p></div>" for _ in range(20))
+    assert html.main_text(f"<body><article>{body}<section class='discussion'>{talk}</section></article></body>") == text
+    assert html.main_text(f"<body><article>{body}</article><div id='comments'>{talk}</div></body>") == text
+    assert html.main_text(f"<body><article>{body}</article><aside class='sidebar'><article><h3>Teaser</h3></article></aside></body>") == text
+    assert html.main_text(f"<body><p>Some <span class='ad'>Buy now</span> text</p>{body}</body>") == f"Some text {text}"
+
+
+def test_broken_references_and_ties():
+    assert html.main_text("<p>a &amp b &nosuch; &#x110000; &lt</p>").startswith("a & b &nosuch;")
+    # equal ratios are one cluster, which is kept
+    assert html.main_text("<p>abcd</p><p>efgh</p><p>ijkl</p>") == "abcd efgh ijkl"
+
+
+def test_clusters_decide():
+    """Without the threshold the short lines far from the text would be kept."""
+    far = "".join(f"<p>n{i}<br></p>" for i in range(12))
+    body = "".join(f"<p>{'a long line of the text itself ' * 10}{i}</p>" for i in range(4))
+    links = "<p><a>x</a></p>" * 8
+    got = html.main_text(f"<body><div>{far}{links}</div><div>{body}</div></body>")
+    assert got.count("itself") == 40 and "n0" not in got.split()
+
+
+@pytest.mark.parametrize("marked", [True, False])
+def test_planted_texts(marked):
+    """Pages with known text, with and without an article around it."""
+    r = random.Random(12)
+    words = "stone river cloud maple window garden letter market bridge silver morning quiet harbor lantern meadow copper".split()
+    say = lambda n: " ".join(r.choice(words) for _ in range(n)).capitalize() + "."
+    for _ in range(60):
+        blocks, body = [], []
+        for k in range(r.randrange(4, 12)):
+            text = say(r.randrange(25, 90))
+            blocks.append(text)
+            first, _, rest = text.partition(" ")
+            body.append(r.choice([f"<p>{text}</p>", f"<p><b>{first}</b> {rest}</p>", f"<p><a href='/{k}'>{first}</a>\n {rest}", f"<blockquote>{first}&#32;{rest}</blockquote>"]))
+        menu = "".join(f"<li><a href='/m{i}'>{r.choice(words)}</a></li>" for i in range(r.randrange(4, 12)))
+        around = [f"<nav><ul>{menu}</ul></nav>", f"<div class='sidebar'><p>{say(20)}</p><ul>{menu}</ul></div>", f"<div class='cookie-notice'>{say(12)}</div>", f"<form><label>{say(4)}</label><input></form>", f"<script>var x = '{say(9)}';</script>"]
+        r.shuffle(around)
+        inner = "".join(body)
+        main = f"<article>{inner}</article>" if marked else f"<div class='{r.choice(['text', 'x-wrap', 'post', ''])}'>{inner}</div>"
+        page = f"<html><head><title>{say(3)}</title></head><body><header>{say(3)}</header>{around[0]}{around[1]}{main}{''.join(around[2:])}<div id='comments'><div class='comment'><p>{say(40)}</p></div></div><footer><a>{say(2)}</a></footer></body></html>"
+        assert html.main_text(page) == " ".join(blocks)
+
+
+def test_features_plainly():
+    known = toxicity.Words({"grumble": 3.0, "zor*": 2.5})
+    text = "YOU said: Grumble is a zorblat 12 times! Really?? You fool, the moron left. ok"
+    at = dict(zip(toxicity.NAMES, toxicity.features(text, known), strict=True))
+    words = text.split()
+    letters = [c for c in text if c.isalpha()]
+    assert at["words"] == pytest.approx(np.log1p(len(words))) and at["capitals"] == pytest.approx(sum(c.isupper() for c in letters) / len(letters))
+    assert at["exclaims"] == pytest.approx(text.count("!") / len(text)) and at["questions"] == pytest.approx(text.count("?") / len(text)) and at["digits"] == pytest.approx(2 / len(text))
+    assert at["punctuation"] == pytest.approx(sum(c in "!\"#$%&'()*+,-./:;<=>?@" for c in text) / len(text)) and at["mean_word"] == pytest.approx(len(text) / len(words))
+    assert at["caps_words"] == pytest.approx(1 / len(words)) and at["mark_runs"] == pytest.approx(1 / len(words))
+    assert at["fixed_density"] == pytest.approx(2 / len(words)) and at["learned_density"] == pytest.approx(2 / len(words)) and (at["learned_max"], at["learned_top3"]) == (3.0, 5.5)
+    # grumble, zorblat, fool and moron stand 2, 4, 1 and 3 words from the next "you"
+    assert at["second_near"] == pytest.approx(4 / len(words)) and at["second_distance"] == 1
+
+
 def test_long_html():
     assert len(html.main_text("<article>" + "<p>abc</p>" * 50_000 + "</article>")) == 200_000 - 1
 
@@ -63,6 +132,18 @@ def test_spans_like_the_patterns():
     assert pii.replaced("a@b.co x", [("email", 0, 6)]) == "[EMAIL] x"
 
 
+def test_terms_like_the_pattern():
+    r = random.Random(4)
+    parts = ["the", "Éa", "naïve", "STRASSE", "ß", " ", "-", "—", "’s", "日本", "123", "_", "²x", "a", "ab", "xyz", "\u0130ab", "\u212aelvin", "\xa0", "\x85", "’", "œuvre", "😀"]
+    for _ in range(4000):
+        text = "".join(r.choice(parts) for _ in range(r.randrange(12)))
+        want = {(m[0].lower(), *m.span()) for m in re.finditer(r"[^\W\d_]{3,}", text)}
+        own = pii.terms(text)
+        told = {t.decode("latin-1") if isinstance(t, bytes) else t for t in own}
+        assert told == {t for t, *_ in want}, text
+        assert {(t.decode("latin-1") if isinstance(t, bytes) else t, a, b) for t, a, b in pii.places(text, own)} == want, text
+
+
 def test_fingerprints():
     r = random.Random(1)
     a = "".join(r.choice("abcdefghij ") for _ in range(4000))
@@ -154,7 +235,7 @@ def test_url_keys():
     assert warc.url_key("http://www.B.example.com:80/x?b=2&a=1#f") == "com,example,b)/x?a=1&b=2"
     assert warc.url_key(None) == "" and warc.url_key("http://[bad") == "http://[bad"
     with pytest.raises(ValueError):
-        list(warc._starts(b"\x1f\x8b\x08"))
+        list(warc.starts(b"\x1f\x8b\x08"))
 
 
 def test_parity_sketches_drop_no_similar_pair():
