@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cairnspark.functions.chunking import chunk_lengths
 from cairnspark.functions.codecs import codec
@@ -48,13 +49,13 @@ def blobs(rows: DataFrame, id_col: str, column: str) -> DataFrame:
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """stream_id (a hash of the path), path, length, content of regular files."""
+    """stream_id (a hash of the path), path, length, content of regular files; Spark passes over empty ones."""
     return spark.read.format("binaryFile").load(path).select(F.xxhash64("path").alias("stream_id"), "path", "length", "content")
 
 
 def read_sizes(spark: SparkSession, path: str) -> DataFrame:
     """length, from text files with a whole number a line."""
-    return spark.read.text(path).select(F.trim("value").cast("long").alias("length")).filter("length is not null")
+    return spark.read.text(path).select(F.nullif(F.trim("value"), F.lit("")).cast("long").alias("length")).filter("length is not null")
 
 
 def preloaded(rows: DataFrame) -> DataFrame:
@@ -183,7 +184,9 @@ def coded(rows: DataFrame, name: str, column: str, out: str, back: bool = False,
 
     ``micros`` names a column for the microseconds that each value took, to be summed."""
     work = codec(name)[back]
-    schema = rows.schema.add(out, "binary")
+    schema = T.StructType([*rows.schema.fields, T.StructField(out, T.BinaryType())])
+    if micros:
+        schema = schema.add(micros, "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,7 +198,7 @@ def coded(rows: DataFrame, name: str, column: str, out: str, back: bool = False,
             more = [(out, pa.array(done, pa.binary()))] + [(micros, pa.array(took, pa.int64()))] * bool(micros)
             yield pa.RecordBatch.from_arrays([*batch.columns, *(c for _, c in more)], [*batch.schema.names, *(n for n, _ in more)])
 
-    return rows.mapInArrow(run, schema.add(micros, "long") if micros else schema)
+    return rows.mapInArrow(run, schema)
 
 
 def encode(streams: DataFrame, name: str = "gzip", window: int = 32) -> DataFrame:

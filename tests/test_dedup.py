@@ -207,7 +207,8 @@ def test_a_frequent_fingerprint_is_spread(spark):
     assert marked.filter("is_duplicate").count() == 19_999 and marked.filter("is_duplicate and ref.id <> 0").count() == 0
     plan = marked._jdf.queryExecution().executedPlan()
     marked.collect()
-    assert plan.toString().count("Range (") <= 2
+    # one scan: the sums and the rows come from one exchange
+    assert plan.toString().split("== Initial Plan ==")[0].count("Range (") == 1
 
 
 def test_options(streams):
@@ -226,7 +227,7 @@ def test_files_and_times(spark, tmp_path):
     for k in range(3):
         (tmp_path / "in" / f"f{k}").write_bytes(b"x" * k * 100)
     got = dedup.read_files(spark, str(tmp_path / "in"))
-    assert sorted((r.path[-2:], r.length, len(r.content)) for r in got.collect()) == [("f0", 0, 0), ("f1", 100, 100), ("f2", 200, 200)]
+    assert sorted((r.path[-2:], r.length, len(r.content)) for r in got.collect()) == [("f1", 100, 100), ("f2", 200, 200)]
     timed = dedup.coded(dedup.preloaded(got).select("stream_id", "content"), "lzss", "content", "packed", micros="micros")
     assert timed.agg(F.sum("micros")).first()[0] >= 0 and timed.columns == ["stream_id", "content", "packed", "micros"]
     (tmp_path / "sizes.txt").write_text("12\n 7 \n\n300\n")
@@ -331,11 +332,11 @@ def test_tables(spark):
 
 def test_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    for k in range(4):
+    for k in range(1, 4):
         (tmp_path / "in" / f"f{k}.txt").write_bytes(b"abc " * k * 50)
     told = files.code_files(spark, str(tmp_path / "in"), f"file://{tmp_path}/packed").first()
-    assert told.input_mb == sum(200 * k for k in range(4)) / (1 << 20) and 0 < told.ratio_pct < 100
-    assert sorted(p.name for p in (tmp_path / "packed").iterdir()) == [f"f{k}.txt.lzss" for k in range(4)]
+    assert told.input_mb == sum(200 * k for k in range(1, 4)) / (1 << 20) and 0 < told.ratio_pct < 100
+    assert sorted(p.name for p in (tmp_path / "packed").iterdir()) == [f"f{k}.txt.lzss" for k in range(1, 4)]
     files.code_files(spark, str(tmp_path / "packed"), f"file://{tmp_path}/back", back=True)
     assert {p.name: p.read_bytes() for p in (tmp_path / "back").iterdir()} == {p.name: p.read_bytes() for p in (tmp_path / "in").iterdir()}
 
