@@ -351,8 +351,7 @@ def stream_mark(spark, sf_dir):
 def stream_state(spark, sf_dir):
     """The same with keyed state that expires after a day."""
     rows, path = _streamed(spark, sf_dir, "state")
-    marked = streaming.mark_with_state(rows, ("doc_id",), 86_400_000)
-    marked.writeStream.format("parquet").option("checkpointLocation", f"{path}/cp").trigger(availableNow=True).start(f"{path}/out").awaitTermination()
+    streaming.finish(streaming.mark_with_state(rows, ("doc_id",), 86_400_000), f"{path}/out", f"{path}/cp")
     return spark.read.parquet(f"{path}/out").groupBy("fp").agg(F.count("*").alias("n"), F.sum(F.col("is_duplicate").cast("long")).alias("n_duplicates"))
 
 

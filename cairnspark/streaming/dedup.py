@@ -107,6 +107,20 @@ def mark_with_state(stream: DataFrame, place: tuple[str, ...], expires_ms: int |
     return stream.groupBy("fp").applyInPandasWithState(mark, kind, held, "append", timeout)
 
 
+def finish(rows: DataFrame, sink: str, checkpoint: str) -> None:
+    """Appends what a stream has now to Parquet, and ends.
+
+    State that expires by the clock asks for batches without data for ever, so there are none meanwhile:
+    what has expired leaves with the next data."""
+    spark, key = rows.sparkSession, "spark.sql.streaming.noDataMicroBatches.enabled"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        rows.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(sink).awaitTermination()
+    finally:
+        spark.conf.set(key, old)
+
+
 def emit_in_order(stream: DataFrame, position: str, pending: str, sink: str, checkpoint: str) -> StreamingQuery:
     """Appends rows to ``sink`` in the order of ``position`` (0, 1, 2 and so on, over the whole stream).
 

@@ -296,8 +296,7 @@ def test_state_expires(spark, tmp_path):
 
     def run(expires):
         out = str(tmp_path / f"out{expires}")
-        rows = streaming.mark_with_state(streaming.source(spark, src, kind), ("id",), expires)
-        rows.writeStream.format("parquet").option("checkpointLocation", f"{out}-cp").trigger(availableNow=True).start(out).awaitTermination()
+        streaming.finish(streaming.mark_with_state(streaming.source(spark, src, kind), ("id",), expires), out, f"{out}-cp")
         return {r.id: (r.ref.id, r.is_duplicate) for r in spark.read.parquet(out).collect()}
 
     spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], kind).coalesce(1).write.mode("append").parquet(src)
