@@ -217,7 +217,8 @@ def _cut_sql() -> str:
     hashed = " ".join(f"xor({row}[b[i - {k}] + 1]," for k, row in enumerate(places[:-1]))
     value = f"{hashed} {places[-1]}[b[i - 31] + 1]" + ")" * (len(places) - 1)
     return f"""
-WITH RECURSIVE d AS (SELECT doc_id AS stream_id, strlen(text)::BIGINT AS n, list_transform(range(1, strlen(text) + 1), lambda i: ('0x' || hex(encode(text))[2 * i - 1 : 2 * i])::INT) AS b FROM (SELECT doc_id, text FROM documents WHERE strlen(text) > 0)),
+WITH RECURSIVE h AS MATERIALIZED (SELECT doc_id, strlen(text)::BIGINT AS n, regexp_extract_all(hex(encode(text)), '..') AS x FROM documents WHERE strlen(text) > 0),
+d AS (SELECT doc_id AS stream_id, n, list_transform(x, lambda c: ('0x' || c)::INT) AS b FROM h),
 p AS (SELECT stream_id, b, unnest(range(32, n + 1)) AS i FROM d WHERE n >= 32),
 e AS (SELECT stream_id, i AS cut FROM p WHERE {value} = 0),
 c AS (SELECT stream_id, n, 0::BIGINT AS l2, 0::BIGINT AS "offset", coalesce((SELECT min(cut) FROM e WHERE e.stream_id = d.stream_id), n) AS stop FROM d
@@ -474,7 +475,7 @@ def result_ordered(spark, sf_dir):
     return rows.select("o", "dataset", "mode", "threads", F.round("avg_time", 6).alias("avg_time"), place.cast("long").alias("place"))
 
 
-@query(f"WITH {_R} SELECT dataset, mode, threads::INT AS threads, total_time::DECIMAL(10,6) AS total_time, count(*) AS n, 2::BIGINT AS appends FROM (SELECT * FROM r UNION ALL SELECT * FROM r) GROUP BY ALL")
+@query(f"WITH {_R} SELECT dataset, mode, threads::INT AS threads, total_time::DECIMAL(10,6)::DOUBLE AS total_time, count(*) AS n, 2::BIGINT AS appends FROM (SELECT * FROM r UNION ALL SELECT * FROM r) GROUP BY ALL")
 def result_append(spark, sf_dir):
     """Runs appended twice to a run table with the day and time, and read from it by SQL."""
     path = tables.scratch(spark, "result")
@@ -483,7 +484,7 @@ def result_append(spark, sf_dir):
     analysis.append_results(runs, path)
     result = spark.read.schema(analysis.RESULT).parquet(path)
     sound = "count(DISTINCT id) = count(*) AND count(current_date) = count(*) AND min(length(current_time)) = 8"
-    return analysis.select_data(spark, f"SELECT dataset, mode, threads, total_time, count(*) AS n, CASE WHEN {sound} THEN 2L END AS appends FROM {{result}} GROUP BY dataset, mode, threads, total_time", result=result)
+    return analysis.select_data(spark, f"SELECT dataset, mode, threads, CAST(total_time AS DOUBLE) AS total_time, count(*) AS n, CASE WHEN {sound} THEN 2L END AS appends FROM {{result}} GROUP BY dataset, mode, threads, total_time", result=result)
 
 
 _LOG = "CASE WHEN event_type = 'purchase' THEN 'It took ' || user_id || '.' || (event_id % 1000) || ' ms' ELSE props END"

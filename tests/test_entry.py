@@ -26,7 +26,7 @@ def told(x: pd.DataFrame) -> list[tuple]:
 
 
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="no test data")
-@pytest.mark.parametrize("name", catalog.QUERIES)
+@pytest.mark.parametrize("name", catalog.SQL)
 def test_against_sql(spark, duck, name):
     got, want = catalog.QUERIES[name](spark, DIR).toPandas(), duck.execute(catalog.SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns) and told(got) == told(want)
