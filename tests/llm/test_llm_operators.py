@@ -84,6 +84,19 @@ def test_blocks_find_the_same(docs, monkeypatch):
     assert {(r.doc_id, r.component_id) for r in neardup.near_duplicates(docs, words=4).collect()} == want
 
 
+def test_rows_grow_in_proportion(spark):
+    """Rows without an id are not joined with each other."""
+    r = random.Random(3)
+    for n in (100, 400):
+        words = [[r.choice("abcdefghijklmnopqrstuvwxyz") + str(r.randrange(90)) for _ in range(40)] for _ in range(n // 2)]
+        texts = [" ".join(w) for w in words] + [" ".join([*w[:-1], "other"]) for w in words]
+        f = neardup.Finder(spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string"), 5, 0.8, 1e-5)
+        rows = f.buckets()
+        f._take_sets(rows.select("node").distinct())
+        assert f.sets.count() == rows.select("node").distinct().count() == n
+        f.close()
+
+
 def test_representatives(docs):
     got = neardup.representatives(docs)
     assert got.columns == docs.columns
@@ -439,6 +452,22 @@ def test_neighbours(spark):
     assert len(few) == sum(i and any(v) for i, v in rows[:6]) * any(rows[0][1])
 
 
+def test_recall_with_the_query_itself(spark):
+    import numpy as np
+
+    x = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").toPandas()
+    v, ids = np.stack(x.embedding.to_list()).astype(float), x.vec_id.to_numpy()
+    got = queries.op10_neighbours(spark, "/root/testdata/sf0.1").orderBy("query_id", "rank").collect()
+    own = defaultdict(list)
+    for r in got:
+        own[r.query_id].append((r.vec_id, r.score))
+    for k in np.flatnonzero(ids % 20 == 0):
+        s = v @ v[k]
+        s[k] = -np.inf
+        best = sorted(zip((-s).round(12), ids, strict=True))[:20]
+        assert [i for i, _ in own[ids[k]]] == [int(i) for _, i in best] and np.allclose([a for _, a in own[ids[k]]], [-a for a, _ in best])
+
+
 def test_recall(spark):
     import numpy as np
 
