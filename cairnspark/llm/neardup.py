@@ -429,8 +429,9 @@ def representatives(docs: DataFrame, **options) -> DataFrame:
     # the operator sees the rows' own numbers, so it stores no texts
     marks = _marked(rows, **options)
     # by the label, as components of null ids or of one repeated id share their component_id
-    first = marks.filter("kept and n_shingles > 0").groupBy("label").agg(F.min("at").alias("first"))
-    gone = marks.filter("n_shingles > 0").join(first, "label").filter("at <> first").select(F.col("at").alias(free(docs, "gone")))
+    first = marks.filter("kept and n_shingles > 0").groupBy("label").agg(F.min("at").alias("first")).select("first")
+    # told apart by the row, which is no frequent key as a large component's label is
+    gone = marks.filter("n_shingles > 0").join(first, F.col("at") == F.col("first"), "left_anti").select(F.col("at").alias(free(docs, "gone")))
     gone = written(gone, "gone")
     drop(marks)
     return rows.join(gone, F.col(ROW) == F.col(free(docs, "gone")), "left_anti").select(*(F.col(f"`{c}`") for c in names if c != ROW))
