@@ -44,7 +44,7 @@ SLANT = 0.25
 #: What a source's words may differ from its target, as a part of it, where its documents allow.
 NEAR = 1e-3
 #: Bits of a rank, of the digits below it that tell ties apart, and of a digit.
-RANK, TIE, DIGIT = 40, 22, 14
+RANK, TIE, DIGIT = 40, 22, 10
 #: Documents of a source that one task walks through in rank; more are cut by their digits first.
 WALK = 4096
 WORD = r"[^\x20\x09-\x0D]+"
